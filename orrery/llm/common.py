@@ -95,3 +95,35 @@ def text_slices(texts: list, most: int = BATCH_CHARS):
         size += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def sampled(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
+    """About ``most`` rows at most of each value of ``by``, by a hash of ``key``: the same rows wherever it runs."""
+    counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
+    share = F.lit(0)
+    for value, n in counts.items():
+        if value is not None:
+            share = F.when(F.col(by) == F.lit(value), F.lit(min(1_000_000, -(-most * 1_000_000 // n)))).otherwise(share)
+    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1_000_000)) < share).limit(2 * most * max(1, len(counts)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, prior: np.ndarray | None = None, steps: int = 40) -> np.ndarray:
+    """Newton's method for a logistic regression whose last weight is the bias; weights are drawn towards ``prior``."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w0 = np.zeros(x.shape[1]) if prior is None else prior
+    pull = np.full(x.shape[1], l2)
+    pull[-1] = 1e-3
+    w = w0.copy()
+    for _ in range(steps):
+        p = sigmoid(x @ w)
+        g = x.T @ (p - y) + pull * (w - w0)
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pull)
+        step = np.linalg.solve(h, g)
+        w = w - step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
