@@ -236,9 +236,9 @@ def spans_of(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), (last + WINDOW).tolist(), strict=True))
 
 
-def repeats(rows: DataFrame) -> DataFrame:
-    """rows: doc (long, unique), text. doc, text and starts (of repeated windows; null if none)."""
-    rows = rows.select("doc", "text")
+def repeats(rows: DataFrame, more: list[str] = []) -> DataFrame:  # noqa: B006
+    """rows: doc (long, unique), text and ``more``. doc, text, starts (of repeated windows; null if none) and ``more``."""
+    whole, rows = rows, rows.select("doc", "text")
     marks = rows.mapInArrow(symbols, "key long, seen int, doc long, at int")
     by_name = Window.partitionBy("key")
     marks = marks.withColumn("n", F.sum("seen").over(by_name)).where(F.col("n") > 1)
@@ -248,7 +248,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     by_hash = Window.partitionBy("h1", "h2").orderBy("doc", "start")
     wins = wins.withColumn("n", F.row_number().over(by_hash)).where((F.col("n") > 1) | F.col("settled"))
     starts = wins.groupBy("doc").agg(F.collect_list("start").alias("starts"))
-    return rows.join(starts, "doc", "left").select("doc", "text", "starts")
+    return whole.join(starts, "doc", "left").select("doc", "text", "starts", *more)
 
 
 def finish(what: str):
@@ -291,6 +291,23 @@ def digests(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return out.withColumnRenamed("doc", key)
 
 
+def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """``documents`` with the repeated words removed: a text that loses words is its kept words, joined by a space, and
+    its ``n_chars`` (if there is such a column) is counted anew; documents of which no word is left go. The other texts and
+    all other columns stay as they are."""
+    rows = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), F.struct(*documents.columns).alias("rest"))
+    starts = repeats(rows, ["rest"])
+    kind = rows.schema["rest"].dataType.simpleString()
+    out = starts.mapInArrow(finish("text"), f"doc long, text string, n_removed long, rest {kind}")
+    out = out.where((F.col("n_removed") == 0) | (F.col("text") != ""))
+    changed = F.col("n_removed") > 0
+    columns = {c: F.col(f"rest.`{c}`") for c in documents.columns}
+    columns[text] = F.col("text")
+    if n_chars in columns:
+        columns[n_chars] = F.when(changed, F.length("text").cast(documents.schema[n_chars].dataType)).otherwise(columns[n_chars])
+    return out.select(*(c.alias(name) for name, c in columns.items()))
+
+
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

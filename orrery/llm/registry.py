@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from orrery.llm import ann, bpe, decontaminate, html, langid, recompress, toxicity, url_filter
+from orrery.llm import ann, bpe, decontaminate, html, langid, minhash, quality, recompress, toxicity, url_filter
 
-MODULES = (ann, bpe, decontaminate, html, langid, recompress, toxicity, url_filter)
+MODULES = (quality, langid, bpe, decontaminate, recompress, minhash, html, ann, toxicity, url_filter)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
