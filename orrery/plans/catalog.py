@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orrery.plans import audits, graphs, pages, searches, tables
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (tables, graphs, searches, audits, pages)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for m in MODULES for name, (q, _) in m.CATALOG.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.CATALOG.items() if sql}

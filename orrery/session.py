@@ -28,3 +28,23 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "4g") ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables in ``sf_dir``, read through Spark only."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where the session names none (in tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        import tempfile
+
+        found = f"file://{tempfile.mkdtemp(prefix='orrery-')}"
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage ends there, and it survives lost executors."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
