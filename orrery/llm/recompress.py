@@ -10,6 +10,7 @@ table, and equal substrings get the same interior symbols. With each symbol go t
 these lie in the window; of the interior symbols of the highest round that has any, the one of least name stands for the
 window. Equal windows have equal symbols standing for them, so a window can only repeat if its symbol does.
 
+0. by text hash: copies of a whole text lose all their words (if they have a window); the steps below leave them out.
 1. map: the symbols that stand for windows, an occurrence each.
 2. by name: which occurrences have another elsewhere.
 3. by document: the windows whose symbol repeats are candidates; their 96-bit hashes verify them.
@@ -18,10 +19,10 @@ window. Equal windows have equal symbols standing for them, so a window can only
 
 Before both shuffles by name and hash, a worker settles what meets in its own batch: of equal names or hashes one row goes
 on, and the rest go on as settled rows with keys of their own. So one row of a key leaves a batch, however many copies
-the corpus holds. The text is shuffled once, by document, and both later joins use that exchange.
+the corpus holds. The text is shuffled once, by document, and all joins by document use that exchange.
 
-Defined cases: a null text, or one without a word, has no words; fewer than WINDOW words are never removed; documents of
-equal id are in an order of their own (by a number that the input order gives); a null id comes first; extra columns
+Defined cases: a null text, or one without a word, has no words; fewer than WINDOW words are never removed; a row that
+repeats (equal id and text) is the same document; a document without an id is left as it is; extra columns
 are kept by ``dedup`` and ignored by the query; an empty table gives no rows.
 """
 
@@ -37,7 +38,9 @@ from pyspark.sql import functions as F
 from orrery.llm.common import WordHashes, mix, text_slices
 
 WINDOW = 20
-ROUNDS = 4
+ROUNDS = 5
+#: Characters that a worker turns into arrays at once.
+BATCH_TEXT = 4_000_000
 U = np.uint64
 
 
@@ -151,13 +154,13 @@ def _batches(batches):
     hashes = WordHashes()
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        for a, b in text_slices(texts):
-            yield batch.slice(a, b - a), Batch(texts[a:b], hashes), a
+        for a, b in text_slices(texts, BATCH_TEXT):
+            yield batch.slice(a, b - a), Batch(texts[a:b], hashes)
 
 
 def symbols(batches):
     """Step 1: key, seen (2 if it is settled that it repeats), doc, and the ordinal of the symbol in its text."""
-    for batch, words, _ in _batches(batches):
+    for batch, words in _batches(batches):
         name, position, _ = standing(words.words, words.breaks)
         if not len(name):
             continue
@@ -165,15 +168,17 @@ def symbols(batches):
         ordinal = numbered(text)
         order, first = only_firsts(name)
         group = np.cumsum(first) - 1
-        size = np.bincount(group)
-        seen = np.where(size[group] > 1, 2, 1)
-        key = name[order].copy()
-        rest = ~first
-        doc = np.asarray(batch.column(0))[text[order]]
-        key[rest] = mix(key[rest] ^ mix(doc[rest].astype(U) * U(0x9E3779B97F4A7C15) + ordinal[order][rest].astype(U)))
+        rest = np.zeros(len(name), bool)
+        rest[order] = ~first
+        seen = np.empty(len(name), np.int32)
+        seen[order] = np.where(np.bincount(group)[group] > 1, 2, 1)
+        doc = np.asarray(batch.column(0))[text]
+        key = name.copy()
+        key[rest] = mix(key[rest] ^ mix(doc[rest].astype(U) * U(0x9E3779B97F4A7C15) + ordinal[rest].astype(U)))
+        at = np.lexsort((ordinal, text))  # rows in the texts' order compress well in a shuffle
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(seen.astype(np.int32)), pa.array(doc), pa.array(ordinal[order].astype(np.int32))],
-            names=["key", "seen", "doc", "at"],
+            [pa.array(key[at].view(np.int64)), pa.array(seen[at]), pa.array(doc[at]), pa.array(ordinal[at].astype(np.int32))],
+            names=["key", "seen", batch.schema.names[0], "at"],
         )
 
 
@@ -190,7 +195,7 @@ def candidates(batches):
     """Step 3: h1, h2, doc, start, settled (a repeat for certain) of the windows whose symbols all repeat."""
     weights = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)], U)
     more = np.array([pow(0xD1342543DE82EF95, k, 1 << 64) for k in range(WINDOW)], U)
-    for batch, words, _ in _batches(batches):
+    for batch, words in _batches(batches):
         name, position, of = standing(words.words, words.breaks)
         if not len(name):
             continue
@@ -214,13 +219,15 @@ def candidates(batches):
         doc = np.asarray(batch.column(0))[text]
         local = start - words.starts[text]
         order = np.lexsort((local, doc, h2, h1))
-        h1, h2, doc, local = h1[order], h2[order], doc[order], local[order]
-        later = np.zeros(len(h1), bool)
-        later[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+        same = np.zeros(len(order), bool)
+        same[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+        first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+        later = np.zeros(len(order), bool)
+        later[order] = (doc[order] != doc[first]) | (local[order] != local[first])
         h1[later] = mix(h1[later] ^ mix(doc[later].astype(U) * U(0x9E3779B97F4A7C15) + local[later].astype(U)))
         yield pa.RecordBatch.from_arrays(
             [pa.array(h1.view(np.int64)), pa.array((h2 - (1 << 31)).astype(np.int32)), pa.array(doc), pa.array(local.astype(np.int32)), pa.array(later)],
-            names=["h1", "h2", "doc", "start", "settled"],
+            names=["h1", "h2", batch.schema.names[0], "start", "settled"],
         )
 
 
@@ -236,19 +243,28 @@ def spans_of(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), (last + WINDOW).tolist(), strict=True))
 
 
-def repeats(rows: DataFrame, more: list[str] = []) -> DataFrame:  # noqa: B006
-    """rows: doc (long, unique), text and ``more``. doc, text, starts (of repeated windows; null if none) and ``more``."""
-    whole, rows = rows, rows.select("doc", "text")
-    marks = rows.mapInArrow(symbols, "key long, seen int, doc long, at int")
+def repeats(rows: DataFrame, key: str, text: str, more: list[str] = []) -> DataFrame:  # noqa: B006
+    """rows: key (long), text and ``more``. key, text, starts (of repeated windows; null if none), copy (whether the whole
+    text is also that of a smaller key) and ``more``. Names stay as in ``rows``: a renamed column would be another exchange."""
+    doc = F.col(key)
+    whole = rows.where(doc.isNotNull())  # the same filter on every side, so that the joins share one exchange
+    nameless = rows.where(doc.isNull()).select(key, text, F.lit(None).cast("array<int>").alias("starts"), F.lit(False).alias("copy"), *more)
+    rows = whole.select(key, text)
+    sums = rows.where(F.col(text).isNotNull()).select(doc.alias("doc"), F.md5(text).alias("sum"))
+    firsts = sums.groupBy("sum").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    copies = sums.join(firsts, "sum").where("doc > first").select(F.col("doc").alias(key), F.lit(True).alias("copy")).distinct()
+    own = rows.join(copies, key, "left_anti").select(key, text)
+    marks = own.mapInArrow(symbols, f"key long, seen int, `{key}` long, at int")
     by_name = Window.partitionBy("key")
     marks = marks.withColumn("n", F.sum("seen").over(by_name)).where(F.col("n") > 1)
-    marks = marks.groupBy("doc").agg(F.collect_list("at").alias("at"))
-    some = rows.join(marks, "doc").select("doc", "text", "at")
-    wins = some.mapInArrow(candidates, "h1 long, h2 int, doc long, start int, settled boolean")
-    by_hash = Window.partitionBy("h1", "h2").orderBy("doc", "start")
-    wins = wins.withColumn("n", F.row_number().over(by_hash)).where((F.col("n") > 1) | F.col("settled"))
-    starts = wins.groupBy("doc").agg(F.collect_list("start").alias("starts"))
-    return whole.join(starts, "doc", "left").select("doc", "text", "starts", *more)
+    marks = marks.groupBy(key).agg(F.collect_list("at").alias("at"))
+    some = own.join(marks, key).select(key, text, "at")
+    wins = some.mapInArrow(candidates, f"h1 long, h2 int, `{key}` long, start int, settled boolean")
+    by_hash = Window.partitionBy("h1", "h2").orderBy(key, "start")
+    wins = wins.withColumn("n", F.dense_rank().over(by_hash)).where((F.col("n") > 1) | F.col("settled"))
+    starts = wins.groupBy(key).agg(F.collect_list("start").alias("starts"))
+    out = whole.join(starts, key, "left").join(copies, key, "left")
+    return out.select(key, text, "starts", F.coalesce("copy", F.lit(False)).alias("copy"), *more).unionByName(nameless)
 
 
 def finish(what: str):
@@ -257,9 +273,11 @@ def finish(what: str):
     def run(batches):
         for batch in batches:
             out = []
-            for text, starts in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for text, starts, copy in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split() if text else []
                 spans = spans_of(np.asarray(starts.values)) if starts.is_valid else []
+                if copy and len(words) >= WINDOW:
+                    spans = [(0, len(words))]
                 kept, at, n = [], 0, 0
                 for a, b in spans:
                     kept += words[at:a]
@@ -274,7 +292,7 @@ def finish(what: str):
             cols = list(zip(*out, strict=True)) or [[]] * (3 if what == "digest" else 2)
             kinds = [pa.int64(), pa.int64(), pa.string()] if what == "digest" else [pa.string(), pa.int64()]
             names = ["n_words", "n_removed", "kept_sha256"] if what == "digest" else ["text", "n_removed"]
-            rest = [] if batch.num_columns == 3 else [batch.column(3)]
+            rest = [] if batch.num_columns == 4 else [batch.column(4)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)), *rest],
                 names=["doc", *names, *(["rest"] if rest else [])],
@@ -286,17 +304,20 @@ def finish(what: str):
 def digests(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key, n_words, n_removed and kept_sha256 of each row. The key is a whole number; rows of equal key are put in
     the order of their texts."""
-    rows = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    out = repeats(rows).mapInArrow(finish("digest"), "doc long, n_words long, n_removed long, kept_sha256 string")
-    return out.withColumnRenamed("doc", key)
+    out = repeats(documents.select(_long(documents, key), text), key, text)
+    return out.mapInArrow(finish("digest"), "doc long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("doc", key)
+
+
+def _long(documents: DataFrame, key: str):
+    return F.col(key) if documents.schema[key].dataType.simpleString() == "bigint" else F.col(key).cast("long").alias(key)
 
 
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``documents`` with the repeated words removed: a text that loses words is its kept words, joined by a space, and
     its ``n_chars`` (if there is such a column) is counted anew; documents of which no word is left go. The other texts and
     all other columns stay as they are."""
-    rows = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), F.struct(*documents.columns).alias("rest"))
-    starts = repeats(rows, ["rest"])
+    rows = documents.select(_long(documents, key), text, F.struct(*documents.columns).alias("rest"))
+    starts = repeats(rows, key, text, ["rest"])
     kind = rows.schema["rest"].dataType.simpleString()
     out = starts.mapInArrow(finish("text"), f"doc long, text string, n_removed long, rest {kind}")
     out = out.where((F.col("n_removed") == 0) | (F.col("text") != ""))

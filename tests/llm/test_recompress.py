@@ -40,7 +40,9 @@ def corpus(seed, docs=120, few=False):
 
 @pytest.mark.parametrize(("seed", "few"), [(1, False), (2, False), (3, True)])
 def test_equals_brute_force(spark, seed, few):
-    docs = [*corpus(seed, few=few), (9001, None), (9002, ""), (9003, "one"), (9004, " \n ")]
+    docs = corpus(seed, few=few)
+    docs += [(5000, docs[7][1]), (5001, docs[7][1]), (5002, " ".join("abcdefghijklmnopqrstuvwxyz"))]
+    docs += [(5003, docs[-1][1]), (9001, None), (9002, ""), (9003, "one"), (9004, " \n ")]
     rows = [(d, t, "x", 1) for d, t in docs]
     random.Random(seed).shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string, key string, at int").repartition(5)
@@ -62,6 +64,19 @@ def test_equal_windows_have_equal_standing_symbols():
             assert (names[0] == names[1]).all()
 
 
+def test_repeated_rows_and_null_ids(spark):
+    text = " ".join(map(str, range(30)))
+    df = spark.createDataFrame([(3, text), (3, text), (7, text), (None, text)], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_removed) for r in recompress.digests(df).collect())
+    assert got == [(-1, 0), (3, 0), (3, 0), (7, 30)]
+
+
+def test_dedup_keeps_columns(spark):
+    text = " ".join(map(str, range(30)))
+    df = spark.createDataFrame([(1, text, "en", 99), (2, "x  y " + text, "de", 99), (3, text, "fr", 99), (4, "a  b", "es", 99)], "doc_id long, text string, rest string, n_chars long")
+    assert sorted(tuple(r) for r in recompress.dedup(df).collect()) == [(1, text, "en", 99), (2, "x y", "de", 3), (4, "a  b", "es", 99)]
+
+
 def test_empty_table_and_spans(spark):
     assert recompress.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert recompress.spans_of(np.array([5, 3, 3, 25, 46])) == [(3, 45), (46, 66)]
