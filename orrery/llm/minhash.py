@@ -35,7 +35,7 @@ MINIMA = BANDS * BAND
 THRESHOLD = 85
 #: Share of equal minima below which a pair cannot reach the threshold (over six standard deviations).
 LEAST_EQUAL = 0.65
-CENTRES = 32
+CENTRES = 128
 BROADCAST_ROWS = 1_000_000
 U = np.uint64
 _rng = np.random.default_rng(20)
@@ -109,7 +109,7 @@ def stars(edges: DataFrame) -> DataFrame:
     """node, root: each node's smallest reachable node. edges: x, y. Alternates large-star and small-star."""
     edges = written(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct(), "edges")
     before = None
-    while True:
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
@@ -123,6 +123,7 @@ def stars(edges: DataFrame) -> DataFrame:
         if seen == before:
             return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
         before = seen
+    return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
