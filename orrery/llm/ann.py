@@ -3,8 +3,9 @@
 A bounded sample (SAMPLE vectors) trains coarse centroids and, on residuals, the sub-quantisers' codebooks; both are
 bounded by parameters and go to the workers with the code. Every vector is indexed: its list and its code. A query
 probes the PROBES lists of largest inner product; in each task, asymmetric tables (query against codebooks) score the
-codes of the vectors that it holds, in blocks, and the best RERANK of each query and task are scored exactly in double
-precision on the original vectors. A task's vectors are indexed where they are, so vectors are never shuffled; only the
+codes of the vectors that it holds, in blocks, and the best RERANK different vectors of each query and block, and all that
+tie with the last of them, are scored exactly in double precision on the original vectors. Equal vectors of a block are one
+candidate, from which the smallest ids are taken. A task's vectors are indexed where they are, so vectors are never shuffled; only the
 best K of each query and task are, and are merged. The queries are a stated set; they are collected to the driver in
 blocks of QUERY_BLOCK and each block is one pass, so what is broadcast is bounded.
 
@@ -82,8 +83,15 @@ def usable(v: str):
     return F.expr(f"{v} IS NOT NULL AND {finite} AND exists({v}, x -> x <> 0)")
 
 
+def groups(x: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for rows of equal bytes."""
+    x = np.ascontiguousarray(x)
+    return np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1])))[:, 0], return_inverse=True)[1].reshape(-1)
+
+
 def searcher(index: Index, ids: np.ndarray, queries: np.ndarray, probes: int, rerank: int, k: int):
-    """The best k of a task's vectors for each query, by exact inner product among the best ``rerank`` approximate ones."""
+    """The best k of a task's vectors for each query, by exact inner product among the best ``rerank`` approximate
+    ones, which are different vectors, and their ties."""
 
     def run(batches):
         own_ids, rows, own_lists, own_codes = [], [], [], []
@@ -103,8 +111,14 @@ def searcher(index: Index, ids: np.ndarray, queries: np.ndarray, probes: int, re
             yield from search(*map(np.concatenate, (own_ids, rows, own_lists, own_codes)))
 
     def search(own_ids, x, lists, codes):
-        order = np.lexsort((own_ids, lists))
-        own_ids, x, lists, codes = own_ids[order], x[order], lists[order], codes[order].astype(np.int64)
+        group = groups(x)
+        order = np.lexsort((own_ids, group, lists))
+        own_ids, x, lists, codes, group = own_ids[order], x[order], lists[order], codes[order].astype(np.int64), group[order]
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        end, group = np.r_[first[1:], len(group)], np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(group)]))
+        x, lists, codes = x[first], lists[first], codes[first]
+        by_id = np.argsort(own_ids, kind="stable")
+        sorted_ids = own_ids[by_id]
         starts = np.searchsorted(lists, np.arange(len(index.coarse) + 1))
         tables = index.tables(queries)
         coarse = queries @ index.coarse.T
@@ -116,14 +130,28 @@ def searcher(index: Index, ids: np.ndarray, queries: np.ndarray, probes: int, re
             if not spans:
                 continue
             at = np.concatenate(spans)
-            at = at[own_ids[at] != ids[n]]
+            own = group[by_id[np.searchsorted(sorted_ids, ids[n]) : np.searchsorted(sorted_ids, ids[n], "right")]]
+            most = k
+            if len(own):
+                most += len(own)
+                own, rows = np.unique(own, return_counts=True)
+                at = at[~np.isin(at, own[rows == end[own] - first[own]])]
             if len(at) > rerank:
                 near = tables[n][part, codes[at]].sum(1) + coarse[n][lists[at]]
-                at = at[np.argpartition(-near, rerank - 1)[:rerank]]
-            s = x[at] @ q
-            best = np.lexsort((own_ids[at], -s))[:k]
+                at = at[near >= np.partition(near, -rerank)[-rerank]]
+            # Not a matrix product: its rounding depends on a row's place, and copies in other tasks must tie.
+            s = (x[at] * q).sum(1)
+            if len(at) > k:
+                best = s >= np.partition(s, -k)[-k]
+                at, s = at[best], s[best]
+            rows = [np.arange(first[g], min(end[g], first[g] + most)) for g in at]
+            s = np.repeat(s, [len(r) for r in rows])
+            rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            others = own_ids[rows] != ids[n]
+            rows, s = own_ids[rows[others]], s[others]
+            best = np.lexsort((rows, -s))[:k]
             out_q += [ids[n]] * len(best)
-            out_i.append(own_ids[at[best]])
+            out_i.append(rows[best])
             out_s.append(s[best])
         if out_q:
             yield pa.RecordBatch.from_arrays(

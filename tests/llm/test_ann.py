@@ -39,3 +39,35 @@ def test_scores_ties_and_odd_vectors(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(df, F.col("id") % 20 == 0).count() == 0
+
+
+def hot(n, copies, seed=5):
+    """n rows of 16 dimensions, of which ``copies``, with ids dealt at random, are equal."""
+    r = np.random.default_rng(seed)
+    x = np.round(r.normal(size=(n, 16)), 3).astype(np.float32)
+    x[r.permutation(n)[:copies]] = np.round(r.normal(size=16), 3) * 2
+    return [(i, list(map(float, v))) for i, v in enumerate(x)]
+
+
+def test_thousands_of_copies_keep_the_smallest_ids(spark):
+    rows = hot(9000, 3000)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    got = {}
+    for r in ann.search(df, F.col("id") % 200 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    x = np.array([v for _, v in rows], np.float64)
+    want = {}
+    for q in range(0, len(rows), 200):
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        want[q] = np.lexsort((np.arange(len(s)), -s))[:20].tolist()
+    of_copies = [q for q in want if len({tuple(x[i]) for i in want[q]}) == 1]
+    assert len(of_copies) >= 10 and all(got[q] == want[q] for q in of_copies)
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_repeated_ids_among_copies(spark):
+    rows = [(0, [1.0, 0.0])] * 30 + [(i, [1.0, 0.0]) for i in range(1, 31)] + [(0, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = [r.vec_id for r in ann.search(df, F.col("id") == 0).orderBy("rank").collect()]
+    assert got == list(range(1, 21))
