@@ -1,9 +1,9 @@
 """Near-duplicate documents by MinHash, verified on full sets, and their connected components.
 
-1. map: each text's set of 3-word shingles (64-bit hashes), its MINIMA minima of universal hashes, and a 128-bit hash of
+1. map: each text's set of shingles (64-bit hashes), its MINIMA minima of universal hashes, and a 128-bit hash of
    the set. Texts of equal sets are one class from here on; its smallest id represents it.
-2. Bands of BAND minima are bucket keys. Two sets that reach the threshold of 0.85 share no bucket with a probability
-   below one in a million (24 bands of 5).
+2. Bands of minima are bucket keys. Two sets that reach the threshold share no bucket with a probability below one in a
+   million. A ``Rule`` holds shingle size, threshold and matching bands: op6 takes 3 words and 0.85.
 3. In each bucket, the others are compared with a centre: the member that meets most others over all its buckets, as an
    original does among its copies. A pair goes on if its minima agree well enough, and is confirmed on the full sets of
    the whole texts. Links join components by alternating large-star and small-star.
@@ -21,6 +21,8 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,13 +30,22 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import WordHashes, dropped, mix, small, written
 
-SHINGLE = 3
-BANDS, BAND = 24, 5
-MINIMA = BANDS * BAND
-#: 100 * intersection >= THRESHOLD * union.
-THRESHOLD = 85
-#: Share of equal minima below which a pair cannot reach the threshold (over six standard deviations).
-LEAST_EQUAL = 0.65
+MINIMA = 120
+
+
+class Rule(NamedTuple):
+    """What near copies are: 100 * intersection >= threshold * union of shingles of ``size`` words."""
+
+    size: int
+    threshold: int
+    #: Minima in a band; MINIMA // band bands.
+    band: int
+    #: Share of equal minima below which a pair cannot reach the threshold (over six standard deviations).
+    least_equal: float
+
+
+OP6 = Rule(3, 85, 5, 0.65)
+FIVE_WORDS = Rule(5, 80, 4, 0.58)
 CENTRES = 128
 BROADCAST_ROWS = 1_000_000
 U = np.uint64
@@ -43,7 +54,7 @@ FACTORS = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) | U(1)
 TERMS = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 
 
-def shingles(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
+def shingles(text: str | None, hashes: WordHashes, size: int = OP6.size) -> np.ndarray:
     """Distinct hashes, sorted. A-Z count as a-z."""
     words = hashes.of(text.encode("utf-8", "surrogatepass").lower().split()) if text else np.zeros(0, U)
     n = min(size, len(words))
@@ -62,47 +73,58 @@ def minima(s: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def signatures(batches):
-    hashes = WordHashes()
-    for batch in batches:
-        rows = []
-        for text in batch.column(1).to_pylist():
-            s = shingles(text, hashes)
-            a, b = int(mix(s).sum(dtype=U)), int(mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U))
-            rows.append((len(s), np.array([a, b], U).view(np.int64), minima(s).tobytes() if len(s) else None))
-        s = np.array([r[1] for r in rows], np.int64).reshape(len(rows), 2)
-        cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array([r[2] for r in rows], pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc", "n", "s1", "s2", "minima"])
+def signatures(rule: Rule):
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                s = shingles(text, hashes, rule.size)
+                a, b = int(mix(s).sum(dtype=U)), int(mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U))
+                rows.append((len(s), np.array([a, b], U).view(np.int64), minima(s).tobytes() if len(s) else None))
+            s = np.array([r[1] for r in rows], np.int64).reshape(len(rows), 2)
+            cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array([r[2] for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc", "n", "s1", "s2", "minima"])
 
+    return run
 
-def similar(batches):
+
+def similar(rule: Rule):
     """The pairs whose minima agree well enough. x, y, minima of both."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, MINIMA) for k in (2, 3))
-        yield batch.select([0, 1]).filter(pa.array((a == b).mean(1) >= LEAST_EQUAL))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, MINIMA) for k in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((a == b).mean(1) >= rule.least_equal))
+
+    return run
 
 
-def confirmed(batches):
+def confirmed(rule: Rule):
     """The pairs that reach the threshold. x, y, texts of both."""
-    hashes, sets, held = WordHashes(), {}, 0
-    for batch in batches:
-        keep = []
-        for x, y, tx, ty in zip(*(batch.column(k).to_pylist() for k in (0, 1)), batch.column(2), batch.column(3), strict=True):
-            both = []
-            for i, t in ((x, tx), (y, ty)):
-                s = sets.get(i)
-                if s is None:
-                    if held > 4_000_000:  # words; a bound on memory alone
-                        sets.clear()
-                        held = 0
-                    s = sets[i] = shingles(t.as_py(), hashes)
-                    held += len(s)
-                both.append(s)
-            common = len(np.intersect1d(*both, assume_unique=True))
-            keep.append(100 * common >= THRESHOLD * (len(both[0]) + len(both[1]) - common))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    def run(batches):
+        hashes, sets, held = WordHashes(), {}, 0
+        for batch in batches:
+            keep = []
+            for x, y, tx, ty in zip(*(batch.column(k).to_pylist() for k in (0, 1)), batch.column(2), batch.column(3), strict=True):
+                both = []
+                for i, t in ((x, tx), (y, ty)):
+                    s = sets.get(i)
+                    if s is None:
+                        if held > 4_000_000:  # words; a bound on memory alone
+                            sets.clear()
+                            held = 0
+                        s = sets[i] = shingles(t.as_py(), hashes, rule.size)
+                        held += len(s)
+                    both.append(s)
+                common = len(np.intersect1d(*both, assume_unique=True))
+                keep.append(100 * common >= rule.threshold * (len(both[0]) + len(both[1]) - common))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -126,23 +148,23 @@ def stars(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
     """The links among ``pairs`` (x, y). classes: rep, minima; documents: doc, text."""
     side = lambda k: classes.select(F.col("rep").alias(k), F.col("minima").alias(f"m{k}"))
     near = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "mx", "my")
-    near = written(near.mapInArrow(similar, "x long, y long"), "pairs")
+    near = written(near.mapInArrow(similar(rule), "x long, y long"), "pairs")
     asked = near.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
     asked = written(asked, "asked")
     texts = documents.join(small(asked, asked.count(), BROADCAST_ROWS), "doc", "left_semi")
     side = lambda k: texts.select(F.col("doc").alias(k), F.col("text").alias(f"t{k}"))
     out = near.join(side("x"), "x").join(side("y"), "y").select("x", "y", "tx", "ty")
-    return written(out.mapInArrow(confirmed, "x long, y long").distinct(), "links")
+    return written(out.mapInArrow(confirmed(rule), "x long, y long").distinct(), "links")
 
 
-def components(classes: DataFrame, documents: DataFrame) -> DataFrame:
+def components(classes: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
     """rep, root of the classes that are linked. classes: rep, minima; documents: doc, text (whole)."""
     bands = F.expr(
-        f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(minima, i * {4 * BAND} + 1, {4 * BAND})))"
+        f"transform(sequence(0, {MINIMA // rule.band - 1}), i -> xxhash64(i, substring(minima, i * {4 * rule.band} + 1, {4 * rule.band})))"
     )
     keys = classes.select("rep", F.explode(bands).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("a"), F.max("rep").alias("b"))
@@ -164,7 +186,7 @@ def components(classes: DataFrame, documents: DataFrame) -> DataFrame:
         if compared is not None:
             pairs = pairs.join(compared, ["x", "y"], "left_anti")
         pairs = written(pairs, "compared")
-        links = verified(pairs, classes, documents)
+        links = verified(pairs, classes, documents, rule)
         compared = pairs if compared is None else compared.unionByName(pairs)
         if roots is not None:
             for k in ("x", "y"):
@@ -188,14 +210,14 @@ def components(classes: DataFrame, documents: DataFrame) -> DataFrame:
     return roots.select(F.col("node").alias("rep"), "root")
 
 
-def grouped(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def grouped(documents: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = OP6) -> DataFrame:
     """The key, n_shingles, component_id and kept of each row."""
     docs = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    marks = written(docs.mapInArrow(signatures, "doc long, n long, s1 long, s2 long, minima binary"), "signatures")
+    marks = written(docs.mapInArrow(signatures(rule), "doc long, n long, s1 long, s2 long, minima binary"), "signatures")
     full = marks.where((F.col("n") > 0) & F.col("doc").isNotNull())
     classes = full.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"), F.first("minima").alias("minima"))
     classes = written(classes, "classes")
-    roots = components(classes.select("rep", "minima"), docs)
+    roots = components(classes.select("rep", "minima"), docs, rule)
     named = classes.select("n", "s1", "s2", "rep").join(roots, "rep", "left")
     named = named.select("n", "s1", "s2", F.coalesce("root", "rep").alias("root"))
     out = marks.select("doc", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
@@ -204,9 +226,9 @@ def grouped(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
-def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = OP6) -> DataFrame:
     """The documents of which their group's smallest id is the own, with all their columns."""
-    gone = grouped(documents, key, text).where(~F.col("kept")).select(key)
+    gone = grouped(documents, key, text, rule).where(~F.col("kept")).select(key)
     return documents.join(gone, key, "left_anti").select(*documents.columns)
 
 
