@@ -80,7 +80,7 @@ CATALOG = {
         f"""SELECT DISTINCT a.file_id FROM ({V.EDGES}) e JOIN ({V.SYMBOLS}) a ON a.id = e.src JOIN ({V.SYMBOLS}) b ON b.id = e.dst WHERE b.file_id IN (1, 2) AND a.file_id NOT IN (1, 2)""",
     ),
     "module_graph_top20": (
-        lambda s, sf: graph.module_graph(V.imports(s, sf).where("dst_file <= 100000"), _modules(s, sf)),
+        lambda s, sf: graph.module_graph(V.imports(s, sf), _modules(s, sf)),
         f"""WITH m AS (SELECT s_suppkey AS file_id, 'n' || s_nationkey AS module FROM supplier)
         SELECT a.module AS src_module, b.module AS dst_module, CAST(count(*) AS BIGINT) AS imports FROM ({V.IMPORTS}) i JOIN m a ON a.file_id = i.src_file JOIN m b ON b.file_id = i.dst_file
         WHERE a.module <> b.module GROUP BY ALL ORDER BY imports DESC, src_module, dst_module LIMIT 20""",
