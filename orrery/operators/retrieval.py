@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.text import cosine, document_terms
+from orrery.session import written
 
 RRF_K = 60
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -70,6 +71,34 @@ def expand(edges: DataFrame, imports: DataFrame, seeds: DataFrame, file_of: Data
     return out.groupBy("file_id").agg(F.min("priority").alias("priority"))
 
 
+def graph_chunks(edges: DataFrame, imports: DataFrame, seeds: DataFrame, file_of: DataFrame, chunks: DataFrame, hops: int = 2) -> DataFrame:
+    """chunk_id, priority: all chunks of the seeds' callers and callees (0: exact, 1: heuristic), of the seeds' own files
+    (2), then of the files imported up to ``hops`` away (3 and on), the least priority of each. seeds: node; file_of:
+    node, file_id; imports: src_file, dst_file; chunks: chunk_id, symbol_id, file_id."""
+    out = None
+    for k, kind in enumerate(("exact", "heuristic")):
+        some = edges.where(F.col("resolution") == kind)
+        both = some.select(F.col("src").alias("node"), F.col("dst").alias("o")).unionByName(some.select(F.col("dst").alias("node"), F.col("src").alias("o")))
+        near = both.join(seeds, "node", "left_semi").select(F.col("o").alias("node")).join(seeds, "node", "left_anti").withColumnRenamed("node", "symbol_id")
+        near = chunks.join(near, "symbol_id", "left_semi").select("chunk_id", F.lit(k).alias("priority"))
+        out = near if out is None else out.unionByName(near)
+    frontier = file_of.join(seeds, "node", "left_semi").select("file_id").distinct()
+    for h in range(max(1, hops) + 1):
+        out = out.unionByName(chunks.join(frontier, "file_id", "left_semi").select("chunk_id", F.lit(2 + h).alias("priority")))
+        frontier = imports.join(frontier.withColumnRenamed("file_id", "src_file"), "src_file", "left_semi").select(F.col("dst_file").alias("file_id")).distinct()
+    return out.groupBy("chunk_id").agg(F.min("priority").alias("priority"))
+
+
+def ranked_all(hits: DataFrame, source: str, *order: str, offset: int = 0) -> DataFrame:
+    """As ``ranked``, of a list of any length: ranked in ranges, which only their counts join. order: columns, ascending."""
+    parts = written(hits.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    before = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = before.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    out = parts.withColumn("k", rank).join(F.broadcast(before), "part")  # a row for each range
+    return out.select("chunk_id", (F.col("k") + F.col("before")).alias("rank"), F.lit(source).alias("source"), F.lit(offset).alias("off"))
+
+
 def ranked(hits: DataFrame, source: str, *order: Column, offset: int = 0) -> DataFrame:
     """chunk_id, rank (from 0), source, off. hits are a limited list, so one partition orders them."""
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1).select("chunk_id", "rank", F.lit(source).alias("source"), F.lit(offset).alias("off"))

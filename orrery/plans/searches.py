@@ -89,10 +89,37 @@ def _hybrid(s, sf):
     return best.withColumn("file_id", F.floor(F.col("chunk_id") / 100000)).join(docs, "file_id", "left").select("chunk_id", "path", "score", "sources")
 
 
+def _hybrid_all(s, sf):
+    """Hybrid search without limits before the last; a document's chunks belong to the part of its number."""
+    chunks = V.chunks(s, sf).select("chunk_id", "file_id", F.col("file_id").alias("symbol_id"))
+    own = V.symbols(s, sf).select(F.col("id").alias("node"), F.col("file_id").cast("long").alias("file_id"))
+    hits = R.symbol_hits(V.symbols(s, sf), chunks, NAMES)
+    graph = R.graph_chunks(V.edges(s, sf), V.imports(s, sf), s.createDataFrame([(1,), (42,)], "node long"), own, chunks, 2)
+    graph = graph.join(hits, "chunk_id", "left_anti")
+    fused = R.fuse(_fts(s, sf), _knn(s, sf, -1.0), R.ranked_all(hits, "symbol", "chunk_id"), R.ranked_all(graph, "graph", "priority", "chunk_id", offset=120))
+    best = fused.orderBy(F.desc("score"), "chunk_id").limit(20)
+    docs = V.files(s, sf).select("file_id", "path")
+    return best.withColumn("file_id", F.floor(F.col("chunk_id") / 100000)).join(docs, "file_id", "left").select("chunk_id", "path", "score", "sources")
+
+
 LISTS = f"""fts AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS r, 'fts' AS source, 0 AS off FROM ({_bm25_sql('')})),
   vec AS (SELECT chunk_id, row_number() OVER (ORDER BY sim DESC, chunk_id) - 1 AS r, 'vector' AS source, 0 AS off FROM ({KNN})),
   sym AS (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) - 1 AS r, 'symbol' AS source, 0 AS off FROM ({SYMBOL}))"""
 FUSE = "SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + r + off)), 6) AS score, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM ({}) GROUP BY chunk_id"
+HYBRID_ALL = f"""WITH {_c(V.CHUNKS)}, {LISTS}, ch AS ({V.CHUNKS}), e AS ({V.EDGES}), i AS ({V.IMPORTS}), seeds AS (SELECT unnest([1, 42]) AS node),
+  named AS (SELECT chunk_id FROM ch WHERE file_id IN (SELECT p_partkey FROM part WHERE p_name IN ({', '.join(repr(n) for n in NAMES)}))),
+  all_sym AS (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) - 1 AS r, 'symbol' AS source, 0 AS off FROM named),
+  near AS (SELECT dst AS node, resolution FROM e WHERE src IN (FROM seeds) UNION ALL SELECT src, resolution FROM e WHERE dst IN (FROM seeds)),
+  f0 AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS file_id FROM part WHERE p_partkey IN (FROM seeds)),
+  f1 AS (SELECT DISTINCT dst_file AS file_id FROM i WHERE src_file IN (FROM f0)),
+  f2 AS (SELECT DISTINCT dst_file AS file_id FROM i WHERE src_file IN (FROM f1)),
+  g AS (SELECT chunk_id, min(priority) AS priority FROM (
+    SELECT chunk_id, CASE WHEN resolution = 'exact' THEN 0 ELSE 1 END AS priority FROM ch JOIN near ON file_id = node WHERE node NOT IN (FROM seeds)
+    UNION ALL SELECT chunk_id, 2 FROM ch WHERE file_id IN (FROM f0) UNION ALL SELECT chunk_id, 3 FROM ch WHERE file_id IN (FROM f1)
+    UNION ALL SELECT chunk_id, 4 FROM ch WHERE file_id IN (FROM f2)) WHERE chunk_id NOT IN (FROM named) GROUP BY chunk_id),
+  gr AS (SELECT chunk_id, row_number() OVER (ORDER BY priority, chunk_id) - 1 AS r, 'graph' AS source, 120 AS off FROM g),
+  b AS (SELECT * FROM ({FUSE.format('SELECT * FROM fts UNION ALL SELECT * FROM vec UNION ALL SELECT * FROM all_sym UNION ALL SELECT * FROM gr')}) ORDER BY score DESC, chunk_id LIMIT 20)
+  SELECT chunk_id, path, score, sources FROM b LEFT JOIN ({V.FILES}) f ON f.file_id = chunk_id // 100000"""
 RANK_BUDGET = 2000
 CATALOG = {
     "term_stats": (
@@ -123,6 +150,7 @@ CATALOG = {
         b AS (SELECT * FROM ({FUSE.format('SELECT * FROM fts UNION ALL SELECT * FROM vec UNION ALL SELECT * FROM sym UNION ALL SELECT * FROM gr')}) ORDER BY score DESC, chunk_id LIMIT 20)
         SELECT chunk_id, path, score, sources FROM b LEFT JOIN ({V.FILES}) f ON f.file_id = chunk_id // 100000""",
     ),
+    "hybrid_search_all": (_hybrid_all, HYBRID_ALL),
     "rerank_pool": (
         lambda s, sf: table(s, sf, "orders").groupBy("o_orderstatus").agg(R.rerank_pool(F.count("*")).cast("long").alias("pool")),
         "SELECT o_orderstatus, CAST(greatest(10, least(50, count(*) // 10)) AS BIGINT) AS pool FROM orders GROUP BY 1",
