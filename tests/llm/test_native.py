@@ -61,13 +61,16 @@ def test_url_rules(spark):
     urls = {
         1: ("http://A.Example.COM/en/1?x", "a.example.com", "/en/1", "com/en/", "block"),
         2: ("https://example.com/en/7#t", "example.com", "/en/7", "example.com/en/7", "allow"),
-        3: ("https://x.net/de/8", "x.net", "/de/8", "net/de/", "block"),
+        3: ("https://x.net/de/8", "x.net", "/de/8", "net/de/", "allow"),
         4: ("https://m.example.net/de/81", "m.example.net", "/de/81", "example.net/de/8", "block"),
         5: ("https://notexample.com/en/7", "notexample.com", "/en/7", "com/en/", "block"),
         6: (None, "", "", None, None),
         7: ("no scheme/en/", "", "", None, None),
         8: ("http://org?://b/es/", "org", "", None, None),
         9: ("http://a.org/es/\nb", "a.org", "/es/\nb", "org/es/", "block"),
+        10: ("http://example.net/de/7", "example.net", "/de/7", "net/de/", "allow"),
+        11: ("http://xexample.net/de/8?q=://", "xexample.net", "/de/8", "net/de/", "allow"),
+        12: ("http://net/de/", "net", "/de/", "net/de/", "allow"),
     }
     rows = [(k, v[0], "h", "s") for k, v in urls.items()]
     df = spark.createDataFrame(rows, "page_id long, url string, host string, score string")
