@@ -1,22 +1,25 @@
 """Near-duplicate documents by MinHash, verified on full sets, and their connected components.
 
-1. map: each text's set of shingles (64-bit hashes), its MINIMA minima of universal hashes, and a 128-bit hash of
+1. map: each text's set of shingles (64-bit hashes), MINIMA minima of universal hashes in bands, and a 128-bit hash of
    the set. Texts of equal sets are one class from here on; its smallest id represents it.
-2. Bands of minima are bucket keys. Two sets that reach the threshold share no bucket with a probability below one in a
-   million. A ``Rule`` holds shingle size, threshold and matching bands: op6 takes 3 words and 0.85.
-3. In each bucket, the others are compared with a centre: the member that meets most others over all its buckets, as an
-   original does among its copies. A pair goes on if its minima agree well enough, and is confirmed on the full sets of
-   the whole texts. Links join components by alternating large-star and small-star.
-4. Members of a bucket that are in different components still are compared with further centres, CENTRES at a time,
-   until every pair in a bucket is in one component or has been compared. So no link between components is lost, no
-   bucket is capped, and pairs within a component are never listed.
-
-Links, components and sets stay in tables in the shared folder. Hot buckets are joins that adaptive execution splits;
-minima of groups are taken map-side first.
-
-Defined cases: a null text, or one without words, has no shingle and is a component of its own; with one or two words the
-whole sequence is the one shingle; a null id stays null and is kept; rows of equal id are one node; extra columns are
-ignored; an empty table gives no rows.
+2. Bands are bucket keys. Two sets that reach the threshold share no bucket with a probability below one in a million.
+   A ``Rule`` holds shingle size, threshold and matching bands: op6 takes 3 words and 0.85.
+3. A bucket's centre is its member that meets most others over all buckets, as an original does among its copies. All
+   members of a centre's buckets are compared with it: signatures first, then full sets. The links are joined by
+   alternating large-star and small-star. The rows are dealt in parts of bounded size, each with the centre's set.
+4. What remains are pairs of members of one centre that are in different components. A shingle that only one component
+   of the centre has cannot be shared by such a pair, so the others bound what a member can share: members that by that
+   bound, and by sizes, can reach the threshold with no member of another component are done. In near copies of one
+   text that are just below the threshold with it, these are nearly all: what an edit added is nobody else's.
+5. The rest are compared on full sets in parts of bounded size by matrix products, each pair of parts in one task. Only
+   links come out, a spanning forest from each task; pairs are never rows. No link is lost, and nothing is capped.
+
+Links, components and sets are tables in the shared folder. Joins on hot keys have an exchange of their own on both sides,
+so that adaptive execution can split them; minima of groups are taken map-side first.
+
+Defined cases: a null text, or one without words, has no shingle and is a component of its own; with fewer words than a
+shingle the whole sequence is the one shingle; a null id stays null and is kept; rows of equal id are one node; extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import WordHashes, dropped, mix, small, written
@@ -46,8 +49,12 @@ class Rule(NamedTuple):
 
 OP6 = Rule(3, 85, 5, 0.65)
 FIVE_WORDS = Rule(5, 80, 4, 0.58)
-CENTRES = 128
+#: Rows and shingles of a part: bounds on a task's memory, not on results.
+PART_ROWS, PART_SHINGLES = 1024, 500_000
+#: Ids that are broadcast at most (8 bytes each); beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Ratio of neighbouring size classes.
+SIZE_STEP = 1.02
 U = np.uint64
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) | U(1)
@@ -73,56 +80,161 @@ def minima(s: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
+def bands(m: np.ndarray, band: int) -> np.ndarray:
+    """The bucket keys of minima: a hash of each band and its number."""
+    parts = m.reshape(-1, band).astype(U)
+    out = np.arange(len(parts), dtype=U) + U(1)
+    for k in range(band):
+        out = mix(out * U(0x9E3779B97F4A7C15) + parts[:, k])
+    return out
+
+
 def signatures(rule: Rule):
+    """doc, n (shingles), s1, s2 (a hash of the set) and bands."""
+
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            rows = []
+            ns, sums, keys = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, hashes, rule.size)
-                a, b = int(mix(s).sum(dtype=U)), int(mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U))
-                rows.append((len(s), np.array([a, b], U).view(np.int64), minima(s).tobytes() if len(s) else None))
-            s = np.array([r[1] for r in rows], np.int64).reshape(len(rows), 2)
-            cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array([r[2] for r in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc", "n", "s1", "s2", "minima"])
+                ns.append(len(s))
+                sums.append((int(mix(s).sum(dtype=U)), int(mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U))))
+                keys.append(bands(minima(s), rule.band).view(np.int64) if len(s) else None)
+            both = np.array(sums, U).reshape(len(sums), 2).view(np.int64)
+            cols = [pa.array(ns, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc", "n", "s1", "s2", "bands"])
 
     return run
 
 
-def similar(rule: Rule):
-    """The pairs whose minima agree well enough. x, y, minima of both."""
+def sets(rule: Rule):
+    """doc, s (a hash of the set), minima and shingles; rows that repeat in a batch once."""
 
     def run(batches):
+        hashes = WordHashes()
         for batch in batches:
-            if not batch.num_rows:
+            found = {}
+            for doc, text in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+                s = shingles(text, hashes, rule.size)
+                if len(s):
+                    found.setdefault((doc, int(mix(s).sum(dtype=U).view(np.int64))), s)
+            cols = [
+                pa.array([k[0] for k in found], pa.int64()),
+                pa.array([k[1] for k in found], pa.int64()),
+                pa.array([minima(s).tobytes() for s in found.values()], pa.binary()),
+                pa.array([s.view(np.int64) for s in found.values()], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc", "s", "minima", "shingles"])
+
+    return run
+
+
+def runs(batches, keys: int):
+    """The rows of equal values in the first ``keys`` columns (neighbours, as the input is sorted), as tables."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = np.stack([np.asarray(batch.column(k), np.int64) for k in range(keys)], 1)
+        cut = [0, *(np.flatnonzero((cols[1:] != cols[:-1]).any(1)) + 1).tolist(), len(cols)]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            key = tuple(cols[a].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def column(t: pa.Table, k: int):
+    return t.column(k).combine_chunks()
+
+
+def lists(t: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, one after another, and the lists' lengths."""
+    c = column(t, k)
+    return np.asarray(c.flatten()).view(U), np.asarray(c.value_lengths(), np.int64)
+
+
+def reach(common, total, threshold: int):
+    """Whether sets of ``total`` elements together, ``common`` of them shared, reach the threshold."""
+    return (100 + threshold) * common >= threshold * total
+
+
+def with_centre(rule: Rule):
+    """The links (x, y) of a centre and its members. centre, part, member (false: the centre itself), doc, minima, shingles."""
+
+    def run(batches):
+        for t in runs(batches, 2):
+            member = np.asarray(column(t, 2).cast(pa.int8())).astype(bool)
+            doc = np.asarray(column(t, 3), np.int64)
+            low = np.frombuffer(b"".join(column(t, 4).to_pylist()), np.uint32).reshape(len(doc), MINIMA)
+            values, n = lists(t, 5)
+            ends = np.cumsum(n)
+            if member.all() or not member.any():
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, MINIMA) for k in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((a == b).mean(1) >= rule.least_equal))
+            found = np.zeros(len(doc), bool)
+            for c in np.flatnonzero(~member):
+                own = values[ends[c] - n[c] : ends[c]]
+                hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+                common = np.add.reduceat(hit, ends - n, dtype=np.int64)
+                found |= member & ((low == low[c]).mean(1) >= rule.least_equal) & reach(common, n + n[c], rule.threshold)
+            links = np.unique(doc[found])
+            centre = np.full(len(links), column(t, 0)[0].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(links), pa.array(centre)], names=["x", "y"])
 
     return run
 
 
-def confirmed(rule: Rule):
-    """The pairs that reach the threshold. x, y, texts of both."""
+def forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links between x and y, as many as join the same components."""
+    root: dict[int, int] = {}
+
+    def find(a: int) -> int:
+        while (b := root.setdefault(a, a)) != a:
+            root[a] = a = root[b]
+        return a
+
+    out = []
+    for a, b in zip(x.tolist(), y.tolist(), strict=True):
+        p, q = find(a), find(b)
+        if p != q:
+            root[p] = q
+            out.append((a, b))
+    return out
+
+
+def across(rule: Rule):
+    """The links (x, y: roots) between components. centre, i, j, part, root, n (of the whole set), shingles (those that
+    several components have)."""
 
     def run(batches):
-        hashes, sets, held = WordHashes(), {}, 0
-        for batch in batches:
-            keep = []
-            for x, y, tx, ty in zip(*(batch.column(k).to_pylist() for k in (0, 1)), batch.column(2), batch.column(3), strict=True):
-                both = []
-                for i, t in ((x, tx), (y, ty)):
-                    s = sets.get(i)
-                    if s is None:
-                        if held > 4_000_000:  # words; a bound on memory alone
-                            sets.clear()
-                            held = 0
-                        s = sets[i] = shingles(t.as_py(), hashes, rule.size)
-                        held += len(s)
-                    both.append(s)
-                common = len(np.intersect1d(*both, assume_unique=True))
-                keep.append(100 * common >= rule.threshold * (len(both[0]) + len(both[1]) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for t in runs(batches, 3):
+            part, root, n = (np.asarray(column(t, k), np.int64) for k in (3, 4, 5))
+            values, lengths = lists(t, 6)
+            one, other = (np.flatnonzero(part == column(t, k)[0].as_py()) for k in (1, 2))
+            if not len(one) or not len(other):
+                continue
+            order, at = np.unique(values, return_inverse=True)
+            row = np.repeat(np.arange(len(n)), lengths)
+            by = np.argsort(at, kind="stable")
+            row, at = row[by], at[by]
+            common = np.zeros((len(one), len(other)), np.float32)
+            for a in range(0, len(order), 4096):
+                lo, hi = np.searchsorted(at, [a, a + 4096])
+                dense = np.zeros((len(n), min(4096, len(order) - a)), np.float32)
+                dense[row[lo:hi], at[lo:hi] - a] = 1
+                common += dense[one] @ dense[other].T
+            linked = reach(common.astype(np.int64), n[one][:, None] + n[other][None], rule.threshold)
+            x, y = np.nonzero(linked & (root[one][:, None] != root[other][None]))
+            if len(x):
+                pairs = np.unique(np.sort(np.stack([root[one][x], root[other][y]], 1), 1), axis=0)
+                out = np.array(forest(pairs[:, 0], pairs[:, 1]), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["x", "y"])
 
     return run
 
@@ -148,79 +260,106 @@ def stars(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
-    """The links among ``pairs`` (x, y). classes: rep, minima; documents: doc, text."""
-    side = lambda k: classes.select(F.col("rep").alias(k), F.col("minima").alias(f"m{k}"))
-    near = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "mx", "my")
-    near = written(near.mapInArrow(similar(rule), "x long, y long"), "pairs")
-    asked = near.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
-    asked = written(asked, "asked")
-    texts = documents.join(small(asked, asked.count(), BROADCAST_ROWS), "doc", "left_semi")
-    side = lambda k: texts.select(F.col("doc").alias(k), F.col("text").alias(f"t{k}"))
-    out = near.join(side("x"), "x").join(side("y"), "y").select("x", "y", "tx", "ty")
-    return written(out.mapInArrow(confirmed(rule), "x long, y long").distinct(), "links")
+def memberships(classes: DataFrame) -> DataFrame:
+    """centre, rep: each centre with the other members of its buckets. classes: rep, bands."""
+    keys = classes.select("rep", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("a"), F.max("rep").alias("b"))
+    shared = written(shared.where("a <> b").select("key", "size"), "shared")
+    members = written(keys.join(shared, "key"), "members")
+    popular = members.groupBy("rep").agg(F.sum("size").alias("met"))
+    best = members.join(popular, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("least"))).alias("c"))
+    best = written(best.select("key", (-F.col("c")["least"]).alias("centre")), "centres")
+    out = members.join(best, "key").where("rep <> centre").select("centre", "rep").distinct()
+    out = written(out, "memberships")
+    dropped(shared, members, best)
+    return out
+
+
+def parts(rows: DataFrame, keys: list[str], hashed: list[str]) -> DataFrame:
+    """``rows`` (keys, shingles, ...) with ``of``, the number of parts of their group, and ``part``, the one of the row."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("m"), F.sum(F.size("shingles")).alias("w"))
+    of = F.greatest(F.ceil(F.col("m") / PART_ROWS), F.ceil(F.col("w") / PART_SHINGLES))
+    sizes = written(sizes.select(*keys, of.alias("of")), "sizes")
+    return rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64(*hashed), F.col("of")))
+
+
+def centre_links(members: DataFrame, of_docs: DataFrame, rule: Rule) -> DataFrame:
+    """Step 3. members: centre, rep; of_docs: doc, s, minima, shingles."""
+    rows = members.join(of_docs.withColumnRenamed("doc", "rep"), "rep")
+    rows = parts(rows, ["centre"], ["rep"])
+    centres = rows.select("centre", "part").distinct().join(of_docs.withColumnRenamed("doc", "centre"), "centre")
+    sides = rows.select("centre", "part", F.lit(True).alias("member"), F.col("rep").alias("doc"), "minima", "shingles")
+    sides = sides.unionByName(centres.select("centre", "part", F.lit(False).alias("member"), F.col("centre").alias("doc"), "minima", "shingles"))
+    sides = sides.repartition("centre", "part").sortWithinPartitions("centre", "part")
+    return sides.mapInArrow(with_centre(rule), "x long, y long")
+
+
+def rest_links(members: DataFrame, of_docs: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame | None:
+    """Steps 4 and 5: links between roots. members: centre, rep; of_docs: doc, s, shingles; roots: node, root."""
+    t = rule.threshold
+    members = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("centre", "rep", F.coalesce("root", "rep").alias("root"))
+    several = members.groupBy("centre").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    several = written(several.select("centre"), "several")
+    if several.isEmpty():
+        return None
+    rows = members.join(several, "centre").join(of_docs.withColumnRenamed("doc", "rep"), "rep")
+    rows = written(rows.select("centre", "rep", "s", "root", F.size("shingles").alias("n"), "shingles"), "rows")
+    each = rows.select("centre", "rep", "s", "root", "n", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("centre", "shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    shared = written(shared.select("centre", "shingle"), "shared")
+    kept = each.join(shared, ["centre", "shingle"]).groupBy("centre", "rep", "s", "root", "n").agg(F.collect_list("shingle").alias("shingles"))
+    kept = written(kept, "kept")
+    own = kept.select("centre", "rep", "s", "root", F.col("n").cast("long"), F.size("shingles").cast("long").alias("v"))
+    size_class = lambda n: F.floor(F.log(n) / float(np.log(SIZE_STEP)))
+    there = own.groupBy("centre", size_class(F.col("n")).alias("f")).agg(
+        F.max("v").alias("most"), F.min("n").alias("least"), F.min("root").alias("a"), F.max("root").alias("b")
+    )
+    there = written(there, "there")
+    least = F.greatest(F.ceil(t * F.col("n") / 100), F.lit(1))
+    most = F.least(F.floor(100 * F.col("n") / t), F.floor((100 + t) * F.col("v") / t) - F.col("n"))
+    probes = own.withColumns({"lo": least, "hi": most}).where("lo <= hi")
+    probes = probes.withColumn("f", F.explode(F.sequence(size_class(F.col("lo")), size_class(F.col("hi")))))
+    meets = reach(F.col("most"), F.col("n") + F.col("least"), t) & ((F.col("a") != F.col("root")) | (F.col("b") != F.col("root")))
+    alive = written(probes.join(there, ["centre", "f"]).where(meets).select("centre", "rep", "s").distinct(), "alive")
+    blocks = parts(kept.join(alive, ["centre", "rep", "s"]), ["centre"], ["rep", "s"])
+    blocks = blocks.withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("of") - 1)))
+    blocks = blocks.select("centre", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "part", "root", F.col("n").cast("long"), "shingles")
+    blocks = blocks.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
+    links = written(blocks.mapInArrow(across(rule), "x long, y long"), "links")
+    dropped(several, rows, shared, kept, there, alive)
+    return links
 
 
 def components(classes: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
-    """rep, root of the classes that are linked. classes: rep, minima; documents: doc, text (whole)."""
-    bands = F.expr(
-        f"transform(sequence(0, {MINIMA // rule.band - 1}), i -> xxhash64(i, substring(minima, i * {4 * rule.band} + 1, {4 * rule.band})))"
-    )
-    keys = classes.select("rep", F.explode(bands).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("a"), F.max("rep").alias("b"))
-    members = written(keys.join(shared.where("a <> b").select("key", "size"), "key"), "members")
-    popular = members.groupBy("rep").agg(F.sum("size").alias("met"))
-    members = written(members.join(popular, "rep").select("key", "rep", "met", F.col("rep").alias("root")), "members")
-    roots, compared, most = None, None, 1
-    while members.limit(1).count():
-        if most == 1:
-            centre = members.groupBy("key").agg(F.max(F.struct("met", -F.col("rep"))).alias("c"))
-            centre = centre.select("key", (-F.col("c")["col2"]).alias("centre"))
-        else:
-            rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "rep"))
-            centre = members.withColumn("k", rank).where(F.col("k") <= most).select("key", F.col("rep").alias("centre"))
-        centre = centre.join(members.select("key", F.col("rep").alias("centre"), F.col("root").alias("centre_root")), ["key", "centre"])
-        centre = written(centre, "centres")
-        met = members.join(centre, "key").where("root <> centre_root")
-        pairs = met.select(F.least("rep", "centre").alias("x"), F.greatest("rep", "centre").alias("y")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["x", "y"], "left_anti")
-        pairs = written(pairs, "compared")
-        links = verified(pairs, classes, documents, rule)
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        if roots is not None:
-            for k in ("x", "y"):
-                links = links.join(roots.withColumnsRenamed({"node": k, "root": "r"}), k, "left").withColumn(k, F.coalesce("r", k)).drop("r")
-        joined = stars(links)
-        if roots is None:
-            roots = joined
-        else:
-            moved = roots.withColumnRenamed("root", "old").join(joined.withColumnsRenamed({"node": "old", "root": "new"}), "old", "left")
-            moved = moved.select("node", F.coalesce("new", "old").alias("root"))
-            roots = written(moved.unionByName(joined.join(moved.select("node"), "node", "left_anti")), "roots")
-        left = members.join(centre.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti").drop("root")
-        left = left.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "met", F.coalesce("root", "rep").alias("root"))
-        left = written(left, "members")
-        several = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        old, members = members, written(left.join(several, "key", "left_semi"), "members")
-        dropped(old, left)
-        most = CENTRES
-    if roots is None:
-        return classes.select("rep", F.col("rep").alias("root")).limit(0)
+    """rep, root of the classes that are linked. classes: rep, bands; documents: doc, text (whole)."""
+    members = memberships(classes)
+    asked = written(members.select(F.explode(F.array("centre", "rep")).alias("doc")).distinct(), "asked")
+    texts = documents.join(small(asked, asked.count(), BROADCAST_ROWS), "doc", "left_semi")
+    of_docs = written(texts.mapInArrow(sets(rule), "doc long, s long, minima binary, shingles array<long>"), "sets")
+    roots = stars(centre_links(members, of_docs, rule))
+    links = rest_links(members, of_docs.drop("minima"), roots, rule)
+    dropped(members, asked, of_docs)
+    if links is not None:
+        joined = stars(links).withColumnsRenamed({"node": "old", "root": "new"})
+        moved = roots.withColumnRenamed("root", "old").join(joined, "old", "left").select("node", F.coalesce("new", "old").alias("root"))
+        alone = joined.select(F.col("old").alias("node"), F.col("new").alias("root")).join(roots.select("node"), "node", "left_anti")
+        roots = moved.unionByName(alone)
     return roots.select(F.col("node").alias("rep"), "root")
 
 
 def grouped(documents: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = OP6) -> DataFrame:
     """The key, n_shingles, component_id and kept of each row."""
     docs = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    marks = written(docs.mapInArrow(signatures(rule), "doc long, n long, s1 long, s2 long, minima binary"), "signatures")
+    marks = written(docs.mapInArrow(signatures(rule), "doc long, n long, s1 long, s2 long, bands array<long>"), "signatures")
     full = marks.where((F.col("n") > 0) & F.col("doc").isNotNull())
-    classes = full.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"), F.first("minima").alias("minima"))
+    classes = full.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
-    roots = components(classes.select("rep", "minima"), docs, rule)
+    roots = components(classes.select("rep", "bands"), docs, rule)
     named = classes.select("n", "s1", "s2", "rep").join(roots, "rep", "left")
-    named = named.select("n", "s1", "s2", F.coalesce("root", "rep").alias("root"))
-    out = marks.select("doc", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
+    named = written(named.select("n", "s1", "s2", F.coalesce("root", "rep").alias("root")), "named")
+    # an empty set is in no class; by a hash of its id it is no hot key of the join either
+    s1 = F.when(F.col("n") > 0, F.col("s1")).otherwise(F.xxhash64("doc"))
+    out = marks.select("doc", "n", s1.alias("s1"), "s2").join(named, ["n", "s1", "s2"], "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("root", "doc"))
     out = out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
