@@ -5,10 +5,12 @@ and the array of ranks of neighbouring pairs, each step merges the leftmost pair
 that changed. The ranks are a literal map, split into buckets by CRC-32 so that a lookup is short. The words are the most
 frequent of the whole corpus, HEAD_WORDS at most (a bound that no input moves), and so nearly all occurrences. A map
 over the documents, without a shuffle, then splits each text by the pattern and puts the codes in place; it merges the
-rare words itself with a heap, once for each task, as their number grows with the corpus and a fold costs tens of
+rare words itself, once for each task, as their number grows with the corpus and a fold costs tens of
 microseconds a word (README). Which words are in the head changes no result. Decoding concatenates the binary pieces.
 
-A worker's table of words starts anew after TABLE_WORDS words, so memory is bounded.
+No match of the pattern goes on from another character to a space, so the count can cut a text before each space that
+follows one and match each different unit once. A worker's table starts anew after TABLE_WORDS words or units, so memory is
+bounded.
 
 Defined cases: a null text counts as empty and has no ids; repeated rows repeat their result; extra columns are ignored
 (one key column is kept, null or not); an empty table gives no rows.
@@ -20,6 +22,7 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 import struct
 import zlib
 from collections import Counter
@@ -29,11 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import literal, written
+from orrery.llm.common import literal, text_slices, written
 
 HEAD_WORDS = 65_536
 TABLE_WORDS = 400_000
+TABLE_CHARS = 8_000_000
 LONG_WORD = 200
+SHORT_WORD = 48
+#: The pattern of which the text above speaks, and the pairs that may keep str.split from cutting at the right spaces.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPACES = [f"{c} " for c in map(chr, range(0x3001)) if c.isspace()]
 BUCKETS = 65_536
 NO_RANK = 2_147_483_647
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -90,38 +98,154 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _clear(words: dict, start: dict) -> None:
-    words.clear()
-    words.update(start)
-
-
-class Codes(dict):
-    """The ids of words as little-endian 32-bit integers; a word that it doesn't hold yet is merged here."""
+def cutter(split: str):
+    """text -> (first unit, the others without the space that each begins with). One unit for another pattern."""
+    if split != PATTERN:
+        return lambda text: (text, [])
+    anywhere = re.compile(r"(?<!\s) ").split
+
+    def cut(text: str) -> tuple[str, list[str]]:
+        units = anywhere(text) if any(s in text for s in SPACES) else text.split(" ")
+        return units[0], units[1:]
+
+    return cut
+
+
+class Merges:
+    """Ranked merges of many words at once: a row of ids for each word, and of the ranks of neighbouring pairs."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.none = max(ranks.values(), default=0) + 1
+        self.of_byte = np.array([ranks.get(bytes([b]), self.none) for b in range(256)], np.int64)
+        pairs = [
+            (ranks[p[:k]] * (self.none + 1) + ranks[p[k:]], r) for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks
+        ]
+        keys, values = np.array(pairs, np.int64).reshape(-1, 2).T
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.full(1 << self.bits, NO_RANK, np.int32)
+        at = self.slot(keys)
+        while len(keys):  # open addressing: of those that want a free slot, one gets it
+            free = np.flatnonzero(self.keys[at] < 0)
+            slots, first = np.unique(at[free], return_index=True)
+            got = free[first]
+            self.keys[slots], self.values[slots] = keys[got], values[got]
+            left = np.ones(len(keys), bool)
+            left[got] = False
+            keys, values, at = keys[left], values[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, NO_RANK where they don't merge. One dimension."""
+        keys = left * (self.none + 1) + right
+        at = self.slot(keys)
+        out, left_over = self.values[at], np.flatnonzero(self.keys[at] != keys)
+        out[left_over] = NO_RANK
+        left_over = left_over[self.keys[at[left_over]] >= 0]
+        while len(left_over):
+            at[left_over] = (at[left_over] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at[left_over]]
+            hit = found == keys[left_over]
+            out[left_over[hit]] = self.values[at[left_over[hit]]]
+            left_over = left_over[~hit & (found >= 0)]
+        return out
 
-    def __init__(self, ranks: dict[bytes, int], head: dict[str, bytes]):
-        super().__init__(head)
-        self.ranks, self.head = ranks, head
+    def of(self, words: list[bytes]):
+        """(word, its ids as little-endian 32-bit integers) of each word of 1 to SHORT_WORD bytes, in an order of its own."""
+        words = sorted(words, key=len)
+        for a in range(0, len(words), 4096):
+            some = words[a : a + 4096]
+            yield from self._of(some, len(some[-1]))
+
+    def _of(self, words: list[bytes], width: int):
+        ids = self.of_byte[np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)]
+        size = np.array([len(w) for w in words])
+        ids[np.arange(width)[None] >= size[:, None]] = self.none
+        ranks = self.rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(words), width - 1)
+        row = np.arange(len(words))
+        while len(row):
+            at = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(row), np.int64)
+            least = ranks[np.arange(len(row)), at] if ranks.shape[1] else np.full(len(row), NO_RANK)
+            over = least == NO_RANK
+            if over.any():
+                done = ids[over]
+                there = done != self.none
+                raw = done[there].astype("<u4").tobytes()
+                ends = (4 * np.cumsum(there.sum(1))).tolist()
+                for r, start, end in zip(row[over].tolist(), [0, *ends[:-1]], ends, strict=True):
+                    yield words[r], raw[start:end]
+                going = ~over
+                row, ids, ranks, at, least = row[going], ids[going], ranks[going], at[going], least[going]
+                if not len(row):
+                    return
+            n, width = np.arange(len(row)), ids.shape[1]
+            ids[n, at] = least
+            columns = np.arange(width - 1)
+            ids = np.take_along_axis(ids, columns[None] + (columns[None] > at[:, None]), 1)
+            ranks = np.take_along_axis(ranks, columns[None, : width - 2] + (columns[None, : width - 2] >= at[:, None]), 1)
+            before, after = np.flatnonzero(at > 0), np.flatnonzero(at < width - 2)
+            ranks[before, at[before] - 1] = self.rank(ids[before, at[before] - 1], ids[before, at[before]])
+            ranks[after, at[after]] = self.rank(ids[after, at[after]], ids[after, at[after] + 1])
+
+
+class Codes:
+    """The ids of texts. Words that it doesn't hold yet are merged together, for some texts at a time. head: ids of words."""
+
+    def __init__(self, ranks: dict[bytes, int], head: dict[str, bytes], split: str, merges: Merges):
+        import regex
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= len(self.head) + TABLE_WORDS:
-            _clear(self, self.head)
-        ids = merged(word.encode(), self.ranks)
-        out = self[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return out
+        self.ranks, self.head, self.merges = ranks, head, merges
+        self.find = regex.compile(split).findall
+        self.words = dict(head)
+        self.chars = 0
+
+    def learn(self, words: set[str]) -> None:
+        short = []
+        for w in words:
+            raw = w.encode()
+            if raw in self.ranks:
+                self.words[w] = struct.pack("<I", self.ranks[raw])
+            elif len(raw) <= SHORT_WORD:
+                short.append(raw)
+            else:
+                ids = merged(raw, self.ranks)
+                self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for raw, ids in self.merges.of(short):
+            self.words[raw.decode()] = ids
+
+    def texts(self, texts: list) -> list[bytes]:
+        if len(self.words) > len(self.head) + TABLE_WORDS or self.chars > TABLE_CHARS:
+            self.words, self.chars = dict(self.head), 0
+        found = [self.find(t) if t else [] for t in texts]
+        new: set[str] = set()
+        for words in found:
+            new.update(words)
+        new.difference_update(self.words)
+        self.chars += sum(map(len, new))
+        self.learn(new)
+        return [b"".join(map(self.words.__getitem__, words)) for words in found]
 
 
 def counted(ranks: dict[bytes, int], split: str):
-    """(word, n) of the words that a task meets twice or more between two times of emptying its table."""
+    """(word, n) of the words in units that a task meets twice or more between two times of emptying its table, but for
+    the first of a text. (What is left out here costs a merge, and changes no result.)"""
 
     def run(batches):
         import regex
 
-        find = regex.compile(split).findall
-        counts: Counter = Counter()
+        find, cut = regex.compile(split).findall, cutter(split)
+        units: Counter = Counter()
 
         def out():
-            kept = [(w, n) for w, n in counts.items() if n > 1 and len(w) <= LONG_WORD // 4 and w.encode() not in ranks]
-            counts.clear()
+            counts: Counter = Counter()
+            for unit, n in units.items():
+                if n > 1:
+                    for w in find(f" {unit}"):
+                        counts[w] += n
+            units.clear()
+            kept = [(w, n) for w, n in counts.items() if len(w) <= LONG_WORD // 4 and w.encode() not in ranks]
             return pa.RecordBatch.from_arrays(
                 [pa.array([w.encode().decode("latin-1") for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())],
                 names=["word", "n"],
@@ -130,8 +254,9 @@ def counted(ranks: dict[bytes, int], split: str):
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    counts.update(find(text))
-                if len(counts) >= TABLE_WORDS:
+                    first, others = cut(text)
+                    units.update(others)
+                if len(units) >= TABLE_WORDS:
                     yield out()
         yield out()
 
@@ -202,22 +327,18 @@ def frequent(documents: DataFrame, text: str, ranks: dict[bytes, int]) -> DataFr
 
 def coded(ranks: dict[bytes, int], head: dict[str, bytes], split: str, what: str):
     """what: "ids" (n_tokens and the ids) or "digests" (n_tokens and SHA-256 of the ids and of the decoded)."""
-    pieces = _pieces(ranks)
+    pieces, merges = Pieces(ranks), Merges(ranks)
 
     def run(batches):
-        import regex
-
-        find, code = regex.compile(split).findall, Codes(ranks, head).__getitem__
+        codes = Codes(ranks, head, split, merges)
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                raw = b"".join(map(code, find(text))) if text else b""
+            out, texts = [], batch.column(1).to_pylist()
+            for raw in (raw for a, b in text_slices(texts) for raw in codes.texts(texts[a:b])):
                 ids = np.frombuffer(raw, "<u4")
                 if what == "ids":
                     out.append((len(ids), ids.astype(np.int32)))
                 else:
-                    decoded = b"".join(map(pieces.__getitem__, ids.tolist()))
-                    out.append((len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                    out.append((len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(pieces.of(ids)).hexdigest()))
             cols = list(zip(*out, strict=True)) or [[]] * (2 if what == "ids" else 3)
             kinds = [pa.int64(), pa.list_(pa.int32())] if what == "ids" else [pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
@@ -228,11 +349,26 @@ def coded(ranks: dict[bytes, int], head: dict[str, bytes], split: str, what: str
     return run
 
 
-def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
-    out = [b""] * (max(ranks.values(), default=-1) + 1)
-    for piece, r in ranks.items():
-        out[r] = piece
-    return out
+class Pieces:
+    """The binary pieces of ids, one after another in one buffer."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by_id = [b""] * (max(ranks.values(), default=-1) + 1)
+        for piece, r in ranks.items():
+            by_id[r] = piece
+        self.size = np.array([len(p) for p in by_id], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.buffer = np.frombuffer(b"".join(by_id), np.uint8)
+
+    def of(self, ids: np.ndarray) -> bytes:
+        """The pieces of ``ids``, joined."""
+        out = []
+        for a in range(0, len(ids), 100_000):
+            some = ids[a : a + 100_000].astype(np.int64)
+            size = self.size[some]
+            end = np.cumsum(size)
+            out.append(self.buffer[np.repeat(self.at[some] - end + size, size) + np.arange(end[-1])].tobytes())
+        return b"".join(out)
 
 
 def _encoded(documents: DataFrame, key: str, text: str, path: str | None, what: str, columns: str) -> DataFrame:
@@ -254,12 +390,11 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` with the column ``decoded`` (binary): the pieces of the ids, one after another."""
-    pieces = _pieces(load_ranks(path or vocabulary_path()))
+    pieces = Pieces(load_ranks(path or vocabulary_path()))
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            text = [None if x is None else b"".join(map(pieces.__getitem__, x)) for x in ids]
+            text = [pieces.of(np.asarray(x.values)) if x.is_valid else None for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.binary())], [*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded")

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 
 from orrery.llm import bpe
@@ -52,9 +53,27 @@ def test_fold_equals_tiktoken(spark, tokenizer):
 
 def test_table_starts_anew(tokenizer, monkeypatch):
     monkeypatch.setattr(bpe, "TABLE_WORDS", 3)
-    codes = bpe.Codes(bpe.load_ranks(bpe.vocabulary_path()), {"x": b"1234"})
-    assert [len(codes[w]) // 4 for w in ("qzx", "qzy", "qzw", "qzv", "qzu")] == [len(tokenizer.encode_ordinary(w)) for w in ("qzx", "qzy", "qzw", "qzv", "qzu")]
-    assert len(codes) <= 4 and codes["x"] == b"1234"
+    ranks = bpe.load_ranks(bpe.vocabulary_path())
+    codes = bpe.Codes(ranks, {" x": b"1234"}, bpe.pattern(), bpe.Merges(ranks))
+    for words in ("a qzx qzy", "b qzw qzv", "c qzu qzx", "", "d qzw"):
+        assert codes.texts([words, None]) == [np.array(tokenizer.encode_ordinary(words), "<u4").tobytes(), b""]
+        assert len(codes.words) <= 7 and codes.words[" x"] == b"1234"
+
+
+def test_units_and_white_space(tokenizer):
+    """Texts of all white space, cut into units of which the words are those of the text."""
+    ranks = bpe.load_ranks(bpe.vocabulary_path())
+    assert bpe.pattern() == bpe.PATTERN
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    assert all(f"{c} " in bpe.SPACES for c in spaces)
+    rng = random.Random(11)
+    codes, cut, find = bpe.Codes(ranks, {}, bpe.PATTERN, bpe.Merges(ranks)), bpe.cutter(bpe.PATTERN), regex.compile(bpe.PATTERN).findall
+    for _ in range(400):
+        text = "".join(rng.choices(["a", "Bc", "'s", "é", "1", "!", " ", " ", " ", *spaces], k=rng.randint(1, 40)))
+        assert codes.texts([text]) == [np.array(tokenizer.encode_ordinary(text), "<u4").tobytes()]
+        first, others = cut(text)
+        assert [*find(first), *(w for u in others for w in find(f" {u}"))] == find(text)
+    assert bpe.cutter("x")("a b") == ("a b", [])
 
 
 def test_empty_table(spark):
@@ -67,3 +86,13 @@ def test_heap_merges_equal_tiktoken(tokenizer):
     for _ in range(100):
         word = "".join(rng.choices("abcdehinorst", k=rng.randint(1, 400)))
         assert bpe.merged(word.encode(), ranks) == tokenizer.encode_ordinary(word)
+
+
+def test_merges_of_many_words_equal_tiktoken(tokenizer):
+    ranks = bpe.load_ranks(bpe.vocabulary_path())
+    rng = random.Random(4)
+    words = {"".join(rng.choices("abcdehinorsté日", k=rng.randint(1, 14))) for _ in range(6000)} | {"a", "the", "x" * 40}
+    got = dict(bpe.Merges(ranks).of([w.encode() for w in words]))
+    assert len(got) == len(words)
+    for w in words:  # letters alone: one match of the pattern
+        assert got[w.encode()] == np.array(tokenizer.encode_ordinary(w), "<u4").tobytes()
