@@ -18,8 +18,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group."""
-    return minhash.one_of_each(docs)
+    """One document of each group: five words a shingle, and a similarity of 0.8 or more."""
+    return minhash.one_of_each(docs, rule=minhash.FIVE_WORDS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
