@@ -109,7 +109,7 @@ def test_odd_pages(spark, trees):
     assert [(r.page_id, r.url, r.n_chars > 0) for r in html.extracted(df, trees=trees).collect()] == [(1, None, False), (1, "u", True)]
 
 
-def near(docs, size=3):
+def near(docs, size=3, threshold=85):
     sets = {}
     for d, t in docs:
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
@@ -125,7 +125,7 @@ def near(docs, size=3):
     ids = sorted(sets)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return sorted((d, len(sets[d]), find(d), find(d) == d) for d in sets)

@@ -15,7 +15,7 @@ from .test_recompress import brute as removed
 def expected(docs, items):
     """The pipeline by brute force, with the rows of each stage."""
     docs = [(d, t) for d, t in docs if t and any(c.isalpha() for c in t)]
-    kept = {d for d, _, _, own in near(docs) if own}
+    kept = {d for d, _, _, own in near(docs, 5, 80) if own}  # five words and 0.8: the rule of stages
     docs = [(d, t) for d, t in docs if d in kept]
     first, out = set(), []
     for d, t in sorted(docs):
