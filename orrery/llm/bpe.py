@@ -117,10 +117,21 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.none = max(ranks.values(), default=0) + 1
         self.of_byte = np.array([ranks.get(bytes([b]), self.none) for b in range(256)], np.int64)
-        pairs = [
-            (ranks[p[:k]] * (self.none + 1) + ranks[p[k:]], r) for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks
-        ]
-        keys, values = np.array(pairs, np.int64).reshape(-1, 2).T
+        halves = ((p[:k], p[k:], r) for p, r in ranks.items() for k in range(1, len(p)))
+        flat = (x for a, b, r in halves if a in ranks and b in ranks for x in (ranks[a] * (self.none + 1) + ranks[b], r))
+        self.keys, self.values = np.fromiter(flat, np.int64).reshape(-1, 2).T.copy()
+        self.table()
+
+    def __getstate__(self):
+        known = self.keys >= 0  # a worker builds the table anew: it is mostly empty
+        return self.none, self.of_byte, self.keys[known], self.values[known]
+
+    def __setstate__(self, state):
+        self.none, self.of_byte, self.keys, self.values = state
+        self.table()
+
+    def table(self) -> None:
+        keys, values = self.keys, self.values
         self.bits = max(4, int(4 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.full(1 << self.bits, NO_RANK, np.int32)
@@ -322,7 +333,8 @@ def frequent(documents: DataFrame, text: str, ranks: dict[bytes, int]) -> DataFr
     table = literal(json.dumps(buckets), "array<map<string,int>>")
     ids = F.transform(F.array(table), lambda t: fold(F.col("word"), t))[0]  # binds the literal: it is in the plan once
     few = words.where((F.col("n") >= least) & (F.lit(total) > 0)).select("word")
-    return few.repartition(max(1, total // 4096)).select("word", ids.alias("ids"))
+    few = few.repartition(max(1, total // 4096)).select("word", ids.alias("ids"))
+    return written(few, "head")  # one job; read back part by part, each part would be a job that ships the literal
 
 
 def coded(ranks: dict[bytes, int], head: dict[str, bytes], split: str, what: str):
