@@ -21,9 +21,12 @@ Before both shuffles by name and hash, a worker settles what meets in its own ba
 on, and the rest go on as settled rows with keys of their own. So one row of a key leaves a batch, however many copies
 the corpus holds. The text is shuffled once, by document, and all joins by document use that exchange.
 
+Names and windows are compared by hashes, of 64 and 96 bits, and whole copies by MD5: words are not compared themselves.
+
 Defined cases: a null text, or one without a word, has no words; fewer than WINDOW words are never removed; a row that
-repeats (equal id and text) is the same document; a document without an id is left as it is; extra columns
-are kept by ``dedup`` and ignored by the query; an empty table gives no rows.
+repeats (equal id and text) is the same document; of rows of equal id and different texts each is a document of its own,
+and the one of the smaller text hash comes earlier; a document without an id is left as it is; extra columns are kept by
+``dedup`` and ignored by the query; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,12 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import WordHashes, mix, text_slices
+from orrery.llm.common import WordHashes, mix, small, text_slices, written
 
 WINDOW = 20
 ROUNDS = 3
 #: Characters that a worker turns into arrays at once.
 BATCH_TEXT = 4_000_000
+#: Keys of several texts that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
+VERSION = "__version"
 U = np.uint64
 
 
@@ -172,7 +178,8 @@ def _batches(batches):
 
 
 def symbols(batches):
-    """Step 1: key, seen (2 if it is settled that it repeats), doc, and the ordinal of the symbol in its text."""
+    """Step 1: key, seen (2 if it is settled that it repeats), doc and version, and the ordinal of the symbol in its text.
+    batches: doc, text, version."""
     for batch, words in _batches(batches):
         name, position, _ = standing(words.words, words.breaks)
         if not len(name):
@@ -185,16 +192,21 @@ def symbols(batches):
         rest[order] = ~first
         seen = np.empty(len(name), np.int32)
         seen[order] = np.where(np.bincount(group)[group] > 1, 2, 1)
-        doc = np.asarray(batch.column(0))[text]
+        doc, version = (np.asarray(batch.column(k))[text] for k in (0, 2))
         key = name.copy()
-        key[rest] = mix(key[rest] ^ mix(doc[rest].astype(U) * U(0x9E3779B97F4A7C15) + ordinal[rest].astype(U)))
+        key[rest] = own_key(key[rest], doc[rest], version[rest], ordinal[rest])
         at = np.lexsort((ordinal, text))  # rows in the texts' order compress well in a shuffle
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key[at].view(np.int64)), pa.array(seen[at]), pa.array(doc[at]), pa.array(ordinal[at].astype(np.int32))],
-            names=["key", "seen", batch.schema.names[0], "at"],
+            [pa.array(key[at].view(np.int64)), pa.array(seen[at]), pa.array(doc[at]), pa.array(version[at]), pa.array(ordinal[at].astype(np.int32))],
+            names=["key", "seen", batch.schema.names[0], VERSION, "at"],
         )
 
 
+def own_key(key: np.ndarray, doc: np.ndarray, version: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A key that no other row has."""
+    return mix(key ^ mix(mix(doc.astype(U) ^ mix(version.astype(U))) * U(0x9E3779B97F4A7C15) + at.astype(U)))
+
+
 def numbered(text: np.ndarray) -> np.ndarray:
     """The ordinal of each row among those of its text, in the order given."""
     order = np.argsort(text, kind="stable")
@@ -205,7 +217,8 @@ def numbered(text: np.ndarray) -> np.ndarray:
 
 
 def candidates(batches):
-    """Step 3: h1, h2, doc, start, settled (a repeat for certain) of the windows whose symbols all repeat."""
+    """Step 3: h1, h2, doc, version, start, settled (a repeat for certain) of the windows whose symbols all repeat.
+    batches: doc, text, version, ordinals."""
     weights = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)], U)
     more = np.array([pow(0xD1342543DE82EF95, k, 1 << 64) for k in range(WINDOW)], U)
     for batch, words in _batches(batches):
@@ -214,7 +227,7 @@ def candidates(batches):
             continue
         text = words.text_of(position)
         ordinal = numbered(text)
-        listed = batch.column(2)
+        listed = batch.column(3)
         owner = np.repeat(np.arange(len(listed)), np.asarray(listed.value_lengths().fill_null(0)))
         width = int(ordinal.max()) + 1
         repeated = np.isin(text * width + ordinal, owner * width + np.asarray(listed.flatten()))
@@ -229,18 +242,18 @@ def candidates(batches):
             h2 += scrambled[start + k] * more[k]
         h1, h2 = mix(h1), (mix(h2) >> U(32)).astype(np.int64)
         text = words.text_of(start)
-        doc = np.asarray(batch.column(0))[text]
+        doc, version = (np.asarray(batch.column(k))[text] for k in (0, 2))
         local = start - words.starts[text]
-        order = np.lexsort((local, doc, h2, h1))
+        order = np.lexsort((local, version, doc, h2, h1))
         same = np.zeros(len(order), bool)
         same[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
         first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
         later = np.zeros(len(order), bool)
-        later[order] = (doc[order] != doc[first]) | (local[order] != local[first])
-        h1[later] = mix(h1[later] ^ mix(doc[later].astype(U) * U(0x9E3779B97F4A7C15) + local[later].astype(U)))
+        later[order] = (doc[order] != doc[first]) | (version[order] != version[first]) | (local[order] != local[first])
+        h1[later] = own_key(h1[later], doc[later], version[later], local[later])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h1.view(np.int64)), pa.array((h2 - (1 << 31)).astype(np.int32)), pa.array(doc), pa.array(local.astype(np.int32)), pa.array(later)],
-            names=["h1", "h2", batch.schema.names[0], "start", "settled"],
+            [pa.array(h1.view(np.int64)), pa.array((h2 - (1 << 31)).astype(np.int32)), pa.array(doc), pa.array(version), pa.array(local.astype(np.int32)), pa.array(later)],
+            names=["h1", "h2", batch.schema.names[0], VERSION, "start", "settled"],
         )
 
 
@@ -258,26 +271,46 @@ def spans_of(starts: np.ndarray) -> list[tuple[int, int]]:
 
 def repeats(rows: DataFrame, key: str, text: str, more: list[str] = []) -> DataFrame:  # noqa: B006
     """rows: key (long), text and ``more``. key, text, starts (of repeated windows; null if none), copy (whether the whole
-    text is also that of a smaller key) and ``more``. Names stay as in ``rows``: a renamed column would be another exchange."""
-    doc = F.col(key)
-    whole = rows.where(doc.isNotNull())  # the same filter on every side, so that the joins share one exchange
+    text is also that of a smaller key) and ``more``. Names stay as in ``rows``: a renamed column would be another exchange,
+    and so would be ``more`` beside the text: it comes in at the end, by a join of its own."""
+    doc, own_key = F.col(key), [key, VERSION]
     nameless = rows.where(doc.isNull()).select(key, text, F.lit(None).cast("array<int>").alias("starts"), F.lit(False).alias("copy"), *more)
-    rows = whole.select(key, text)
-    sums = rows.where(F.col(text).isNotNull()).select(doc.alias("doc"), F.md5(text).alias("sum"))
+    whole, again = with_version(rows.where(doc.isNotNull()), key, text)
+    texts = whole.select(key, text, VERSION)
+    if again:
+        texts = texts.dropDuplicates(own_key)
+    sums = texts.where(F.col(text).isNotNull()).select(F.struct(*own_key).alias("doc"), F.md5(text).alias("sum"))
     firsts = sums.groupBy("sum").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    copies = sums.join(firsts, "sum").where("doc > first").select(F.col("doc").alias(key), F.lit(True).alias("copy")).distinct()
-    own = rows.join(copies, key, "left_anti").select(key, text)
-    marks = own.mapInArrow(symbols, f"key long, seen int, `{key}` long, at int")
+    firsts = written(firsts.select("sum", "first"), "firsts")  # a hot text is then a join that adaptive execution can split
+    copies = sums.join(firsts, "sum").where("doc > first").select("doc.*", F.lit(True).alias("copy"))
+    own = texts.join(copies, own_key, "left_anti").select(key, text, VERSION)
+    marks = own.mapInArrow(symbols, f"key long, seen int, `{key}` long, {VERSION} long, at int")
     by_name = Window.partitionBy("key")
     marks = marks.withColumn("n", F.sum("seen").over(by_name)).where(F.col("n") > 1)
-    marks = marks.groupBy(key).agg(F.collect_list("at").alias("at"))
-    some = own.join(marks, key).select(key, text, "at")
-    wins = some.mapInArrow(candidates, f"h1 long, h2 int, `{key}` long, start int, settled boolean")
-    by_hash = Window.partitionBy("h1", "h2").orderBy(key, "start")
+    marks = marks.groupBy(*own_key).agg(F.collect_list("at").alias("at"))
+    some = own.join(marks, own_key).select(key, text, VERSION, "at")
+    wins = some.mapInArrow(candidates, f"h1 long, h2 int, `{key}` long, {VERSION} long, start int, settled boolean")
+    by_hash = Window.partitionBy("h1", "h2").orderBy(*own_key, "start")
     wins = wins.withColumn("n", F.dense_rank().over(by_hash)).where((F.col("n") > 1) | F.col("settled"))
-    starts = wins.groupBy(key).agg(F.collect_list("start").alias("starts"))
-    out = whole.join(starts, key, "left").join(copies, key, "left")
-    return out.select(key, text, "starts", F.coalesce("copy", F.lit(False)).alias("copy"), *more).unionByName(nameless)
+    starts = wins.groupBy(*own_key).agg(F.collect_list("start").alias("starts"))
+    out = texts.join(starts, own_key, "left").join(copies, own_key, "left")
+    out = out.select(*own_key, text, "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
+    if more or again:
+        out = out.join(whole.select(*own_key, *more), own_key)
+    return out.select(key, text, "starts", "copy", *more).unionByName(nameless)
+
+
+def with_version(rows: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
+    """``rows`` with VERSION: 0, or a hash of the text where rows of that key have different texts; and whether any key
+    has several rows."""
+    version = F.xxhash64(text)
+    several = rows.groupBy(key).agg(F.min(version).alias("a"), F.max(version).alias("b"), F.count("*").alias("n")).where("n > 1")
+    several = written(several.select(key, (F.col("a") < F.col("b")).alias("__several")), "versions")
+    n = several.count()
+    if not n:
+        return rows.withColumn(VERSION, F.lit(0).cast("long")), False
+    out = rows.join(small(several.where("__several"), n, BROADCAST_ROWS), key, "left")
+    return out.withColumn(VERSION, F.when(F.col("__several"), version).otherwise(F.lit(0).cast("long"))).drop("__several"), True
 
 
 def finish(what: str):
@@ -315,8 +348,7 @@ def finish(what: str):
 
 
 def digests(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The key, n_words, n_removed and kept_sha256 of each row. The key is a whole number; rows of equal key are put in
-    the order of their texts."""
+    """The key, n_words, n_removed and kept_sha256 of each row. The key is a whole number."""
     out = repeats(documents.select(_long(documents, key), text), key, text)
     return out.mapInArrow(finish("digest"), "doc long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("doc", key)
 
@@ -329,14 +361,13 @@ def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", n_chars
     """``documents`` with the repeated words removed: a text that loses words is its kept words, joined by a space, and
     its ``n_chars`` (if there is such a column) is counted anew; documents of which no word is left go. The other texts and
     all other columns stay as they are."""
-    rows = documents.select(_long(documents, key), text, F.struct(*documents.columns).alias("rest"))
+    rows = documents.select(_long(documents, key), text, F.struct(F.lit(0).alias("__"), *(c for c in documents.columns if c != text)).alias("rest"))
     starts = repeats(rows, key, text, ["rest"])
     kind = rows.schema["rest"].dataType.simpleString()
     out = starts.mapInArrow(finish("text"), f"doc long, text string, n_removed long, rest {kind}")
     out = out.where((F.col("n_removed") == 0) | (F.col("text") != ""))
     changed = F.col("n_removed") > 0
-    columns = {c: F.col(f"rest.`{c}`") for c in documents.columns}
-    columns[text] = F.col("text")
+    columns = {c: F.col("text") if c == text else F.col(f"rest.`{c}`") for c in documents.columns}
     if n_chars in columns:
         columns[n_chars] = F.when(changed, F.length("text").cast(documents.schema[n_chars].dataType)).otherwise(columns[n_chars])
     return out.select(*(c.alias(name) for name, c in columns.items()))

@@ -71,6 +71,17 @@ def test_repeated_rows_and_null_ids(spark):
     assert got == [(-1, 0), (3, 0), (3, 0), (7, 30)]
 
 
+def test_rows_of_equal_ids_and_different_texts(spark):
+    r = random.Random(1)
+    p, q = (" ".join(r.choice("abcdefghijk") + str(r.randrange(50)) for _ in range(26)) for _ in range(2))
+    z = "z1 z2 " + q
+    df = spark.createDataFrame([(1, p), (5, f"{q} {p}"), (5, z), (5, None), (9, z)], "doc_id long, text string").repartition(2)
+    got = {(x.doc_id, x.n_words): x.n_removed for x in recompress.digests(df).collect() if x.doc_id != 9}
+    one, other = got.pop((5, 52)), got.pop((5, 28))
+    assert (one, other) in ((26, 26), (52, 0)) and got == {(1, 26): 0, (5, 0): 0}  # p is gone, and q once
+    assert {x.n_removed for x in recompress.digests(df).collect() if x.doc_id == 9} == {28}
+
+
 def test_dedup_keeps_columns(spark):
     text = " ".join(map(str, range(30)))
     df = spark.createDataFrame([(1, text, "en", 99), (2, "x  y " + text, "de", 99), (3, text, "fr", 99), (4, "a  b", "es", 99)], "doc_id long, text string, rest string, n_chars long")
