@@ -53,9 +53,9 @@ def search(spark: SparkSession, out: str, text: str, top: int) -> list[dict]:
     named = store.read(spark, out, "symbols").where(F.col("name").isin([*question["names"], *(t for t in question["terms"] if len(t) > 2)]))
     own = chunks.join(named.select(F.col("file"), F.col("qname").alias("title")), ["file", "title"], "left_semi").select("chunk_id")
     lists.append(retrieval.ranked_all(own, "symbol", "chunk_id"))
-    best = retrieval.fuse(*lists).orderBy(F.desc("score"), "chunk_id").limit(top)
-    rows = best.join(chunks.select("chunk_id", "file", "title", "line_start", "line_end"), "chunk_id").orderBy(F.desc("score"), "chunk_id")
-    return [r.asDict() for r in rows.collect()]
+    best = retrieval.fuse(*lists).orderBy(F.desc("score"), "first").limit(top)
+    rows = best.join(chunks.select("chunk_id", "file", "title", "line_start", "line_end"), "chunk_id").orderBy(F.desc("score"), "first")
+    return [r.asDict() for r in rows.drop("first").collect()]
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -45,7 +45,7 @@ def idx001(tables: DataFrame, columns: DataFrame, indexes: DataFrame, accesses:
     """A WHERE column in no index; high if it is used more than twice."""
     bare = used(tables, columns, accesses, "where").join(indexed(indexes, columns), [*TABLE, "column"], "left_anti")
     per = bare.groupBy(*TABLE, "column").agg(
-        F.sum("freq").alias("freq"), F.count_distinct("fingerprint").alias("queries"), F.slice(F.array_sort(F.collect_set("location")), 1, 3).alias("at")
+        F.sum(F.when(F.col("freq") != 0, F.col("freq")).otherwise(1)).alias("freq"), F.count_distinct("fingerprint").alias("queries"), F.slice(F.array_sort(F.collect_set("location")), 1, 3).alias("at")
     )
     evidence = F.concat_ws("|", "column", F.col("freq").cast("string"), F.col("queries").cast("string"), F.array_join("at", ","))
     return finding(per, "IDX001", F.when(F.col("freq") > 2, "high").otherwise("medium"), evidence)
@@ -72,13 +72,13 @@ def idx004(tables: DataFrame, columns: DataFrame, indexes: DataFrame, accesses:
     """A JOIN column in no index."""
     bare = used(tables, columns, accesses, "join").join(indexed(indexes, columns), [*TABLE, "column"], "left_anti")
     bare = bare.select(*TABLE, "column", "fingerprint").distinct()
-    return finding(bare, "IDX004", "high", F.concat_ws("|", "column", "fingerprint"))
+    return finding(bare, "IDX004", "medium", F.concat_ws("|", "column", "fingerprint"))
 
 
 def idx005(tables: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Anti-patterns (table, kind, fingerprint) in queries on the schema's tables."""
-    hit = patterns.join(lasting(tables).select(*TABLE), "table").select(*TABLE, "kind", "fingerprint").distinct()
-    return finding(hit, "IDX005", "medium", F.concat_ws("|", "kind", "fingerprint"))
+    """Anti-patterns (table, column, kind, fingerprint) in queries on the schema's tables."""
+    hit = patterns.join(lasting(tables).select(*TABLE), "table").select(*TABLE, "column", "kind", "fingerprint").distinct()
+    return finding(hit, "IDX005", "medium", F.concat_ws("|", "column", "kind", "fingerprint"))
 
 
 def idx101(tables: DataFrame, indexes: DataFrame) -> DataFrame:
@@ -104,9 +104,9 @@ def idx103(tables: DataFrame, columns: DataFrame, indexes: DataFrame) -> DataFra
 
 def qry101(slow: DataFrame) -> DataFrame:
     """Slow queries (schema, table, fingerprint, rows_scanned, rows_returned) that scan over 1000 rows for each one returned."""
-    ratio = F.floor(F.col("rows_scanned") / F.greatest(F.lit(1), "rows_returned"))
+    ratio = F.col("rows_scanned") / F.greatest(F.lit(1), "rows_returned")
     hit = slow.withColumn("ratio", ratio).where("ratio > 1000")
-    return finding(hit, "QRY101", F.when(F.col("ratio") > 10000, "high").otherwise("medium"), F.concat_ws("|", "fingerprint", F.col("ratio").cast("string")))
+    return finding(hit, "QRY101", F.when(F.col("ratio") > 10000, "high").otherwise("medium"), F.concat_ws("|", "fingerprint", F.floor("ratio").cast("string")))
 
 
 def run(tables: DataFrame, columns: DataFrame, indexes: DataFrame, accesses: DataFrame, patterns: DataFrame, slow: DataFrame) -> DataFrame:

@@ -99,24 +99,27 @@ def sample_edges(edges: DataFrame, n: int, seed: int = 0, resolution: str | None
 
 
 def clusters(files: DataFrame, depth: int = 1) -> DataFrame:
-    """module, path, hash: the first ``depth`` directories of each path ('.' for files at the top)."""
-    parts = F.split("path", "/")
-    own = F.array_join(F.slice(parts, F.lit(1), F.least(F.size(parts) - 1, F.lit(depth))), "/")
-    return files.select(F.when(F.size(parts) > 1, own).otherwise(".").alias("module"), "path", "hash")
+    """module, path, hash: the first ``depth`` parts of each path; of a shorter path all."""
+    own = F.array_join(F.slice(F.split("path", "/"), 1, depth), "/")
+    return files.select(own.alias("module"), "path", "hash")
 
 
 def segment(files: DataFrame, most: int = 60, least: int = 5) -> DataFrame:
     """module, path: clusters by the first directory; those of over ``most`` files are split one level deeper, once; those
-    of under ``least`` join the large module of the longest common path prefix (the first in order if several)."""
+    of under ``least`` join the large module that shares most leading parts of the path, one at least (the first in order
+    if several). Where no large one shares a part, the first small one in order takes in the others that share its first."""
     one = clusters(files, 1).join(clusters(files, 2).select("path", F.col("module").alias("deep")), "path")
     size = one.groupBy("module").agg(F.count("*").alias("n"))
     one = one.join(size, "module").select(F.when(F.col("n") > most, F.col("deep")).otherwise(F.col("module")).alias("module"), "path")
     size = one.groupBy("module").agg(F.count("*").alias("n"))
     big, little = size.where(F.col("n") >= least).select("module"), size.where(F.col("n") < least).select(F.col("module").alias("small"))
     # a prefix of each length is an equi-join; no pair of modules is listed but those that share one
-    cut = lambda c: F.expr(f"transform(sequence(0, length({c})), i -> substring({c}, 1, i))")
+    cut = lambda c: F.expr(f"transform(sequence(1, size(split({c}, '/'))), i -> array_join(slice(split({c}, '/'), 1, i), '/'))")
     near = little.withColumn("p", F.explode(cut("small"))).join(big.withColumn("p", F.explode(cut("module"))).groupBy("p").agg(F.min("module").alias("module")), "p")
     near = near.groupBy("small").agg(F.max_by("module", F.length("p")).alias("into"))
+    orphans = little.join(near, "small", "left_anti").withColumn("p", F.split("small", "/")[0])
+    taken = orphans.join(orphans.groupBy("p").agg(F.min("small").alias("into")), "p").select("small", "into")
+    near = near.unionByName(taken)
     moved = one.join(near, one["module"] == near["small"], "left")
     return moved.select(F.coalesce("into", "module").alias("module"), "path")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.text import cosine, document_terms
+from orrery.functions.text import cosine, document_terms, similarity
 from orrery.session import written
 
 RRF_K = 60
@@ -43,9 +43,11 @@ def bm25(chunks: DataFrame, terms: list[str], limit: int | None = 10) -> DataFra
 
 
 def nearest(vectors: DataFrame, query: Column, limit: int = 20, least: float | None = None) -> DataFrame:
-    """chunk_id, sim of the ``limit`` nearest by cosine, those under ``least`` dropped afterwards. query is a literal."""
-    out = vectors.select("chunk_id", F.round(cosine(F.col("vector"), query), 6).alias("sim")).where(F.col("sim").isNotNull() & ~F.isnan("sim"))
-    out = out.orderBy(F.desc("sim"), "chunk_id").limit(limit)
+    """chunk_id, sim of the ``limit`` nearest by cosine distance (ties by chunk_id), those under ``least`` dropped afterwards.
+    query is a literal. A sim is 0 to 1: of a distance of 1 or more it is 0."""
+    near = F.round(1 - cosine(F.col("vector"), query), 6)
+    out = vectors.select("chunk_id", near.alias("distance")).where(F.col("distance").isNotNull() & ~F.isnan("distance"))
+    out = out.orderBy("distance", "chunk_id").limit(limit).select("chunk_id", F.round(similarity(F.col("distance")), 6).alias("sim"))
     return out if least is None else out.where(F.col("sim") >= least)
 
 
@@ -56,18 +58,20 @@ def symbol_hits(symbols: DataFrame, chunks: DataFrame, names: list[str]) -> Data
 
 
 def expand(edges: DataFrame, imports: DataFrame, seeds: DataFrame, file_of: DataFrame, hops: int = 2) -> DataFrame:
-    """file_id, priority: files of callers and callees of the seeds (0: exact, 1: heuristic), then of imports up to
-    ``hops`` away (2 and on), the least priority of each. seeds: node; file_of: node, file_id; imports: src_file, dst_file."""
+    """file_id, priority: files of callers and callees of the seeds (0: exact, 1: heuristic), the seeds' own files (2), then
+    those imported up to ``hops`` away (3 and on), the least priority of each. Seeds aren't their own callers. seeds: node;
+    file_of: node, file_id; imports: src_file, dst_file."""
     near = []
     for k, kind in enumerate(("exact", "heuristic")):
         some = edges.where(F.col("resolution") == kind)
         both = some.select(F.col("src").alias("node"), F.col("dst").alias("o")).unionByName(some.select(F.col("dst").alias("node"), F.col("src").alias("o")))
-        near.append(both.join(seeds, "node", "left_semi").select(F.col("o").alias("node")).join(file_of, "node").select("file_id", F.lit(k).alias("priority")))
+        near.append(both.join(seeds, "node", "left_semi").select(F.col("o").alias("node")).join(seeds, "node", "left_anti").join(file_of, "node").select("file_id", F.lit(k).alias("priority")))
     out = near[0].unionByName(near[1])
-    frontier = seeds.join(file_of, "node").select("file_id").distinct()
+    frontier = file_of.join(seeds, "node", "left_semi").select("file_id").distinct()
+    out = out.unionByName(frontier.withColumn("priority", F.lit(2)))
     for h in range(max(1, hops)):
         frontier = imports.join(frontier.withColumnRenamed("file_id", "src_file"), "src_file", "left_semi").select(F.col("dst_file").alias("file_id")).distinct()
-        out = out.unionByName(frontier.withColumn("priority", F.lit(2 + h)))
+        out = out.unionByName(frontier.withColumn("priority", F.lit(3 + h)))
     return out.groupBy("file_id").agg(F.min("priority").alias("priority"))
 
 
@@ -105,12 +109,20 @@ def ranked(hits: DataFrame, source: str, *order: Column, offset: int = 0) -> Dat
 
 
 def fuse(*lists: DataFrame) -> DataFrame:
-    """chunk_id, score, sources: the sum of 1 / (RRF_K + rank + offset) over all lists."""
-    every = lists[0]
-    for x in lists[1:]:
-        every = every.unionByName(x)
+    """chunk_id, score, sources, first: the sum of 1 / (RRF_K + rank + offset) over all lists, and the first of the lists
+    that has the chunk with its rank there (what breaks ties)."""
+    every = None
+    for k, x in enumerate(lists):
+        x = x.withColumn("list", F.lit(k))
+        every = x if every is None else every.unionByName(x)
     score = F.sum(1.0 / (RRF_K + F.col("rank") + F.col("off")))
-    return every.groupBy("chunk_id").agg(F.round(score, 6).alias("score"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    sources = F.array_join(F.array_sort(F.collect_set("source")), ",")
+    return every.groupBy("chunk_id").agg(F.round(score, 9).alias("score"), sources.alias("sources"), F.min(F.struct("list", "rank")).alias("first"))
+
+
+def best(fused: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` best of ``fuse``: by score, ties by the first list that has a chunk and its rank there."""
+    return fused.orderBy(F.desc("score"), "first").limit(limit).drop("first")
 
 
 def rerank_pool(n: Column) -> Column:

@@ -18,8 +18,8 @@ def _sql(body: str) -> str:
 RULE_SQL = {
     "tbl001": """SELECT l.schema, l."table", 'TBL001' AS rule_id, 'high' AS severity, 'no primary key' AS evidence FROM lasting l
         WHERE NOT EXISTS (SELECT 1 FROM columns c WHERE c.is_pk AND c.schema = l.schema AND c."table" = l."table")""",
-    "idx001": """SELECT schema, "table", 'IDX001' AS rule_id, CASE WHEN sum(freq) > 2 THEN 'high' ELSE 'medium' END AS severity,
-        "column" || '|' || sum(freq) || '|' || count(DISTINCT fingerprint) || '|' || array_to_string(list_sort(list(DISTINCT location))[1:3], ',') AS evidence
+    "idx001": """SELECT schema, "table", 'IDX001' AS rule_id, CASE WHEN sum(coalesce(nullif(freq, 0), 1)) > 2 THEN 'high' ELSE 'medium' END AS severity,
+        "column" || '|' || sum(coalesce(nullif(freq, 0), 1)) || '|' || count(DISTINCT fingerprint) || '|' || array_to_string(list_sort(list(DISTINCT location))[1:3], ',') AS evidence
         FROM bare WHERE usage = 'where' GROUP BY schema, "table", "column" """,
     "idx002": """SELECT DISTINCT schema, "table", 'IDX002' AS rule_id, 'medium' AS severity, "index" || '|' || array_to_string(us, ',') AS evidence FROM
         (SELECT schema, "table", fingerprint, list_sort(list(DISTINCT "column")) AS us FROM used WHERE usage = 'where' GROUP BY ALL) JOIN indexes USING (schema, "table")
@@ -27,16 +27,16 @@ RULE_SQL = {
     "idx003": """SELECT a.schema, a."table", 'IDX003' AS rule_id, 'low' AS severity, a."index" || '|' || b."index" AS evidence FROM indexes a JOIN indexes b
         ON a.schema = b.schema AND a."table" = b."table" AND a.is_unique = b.is_unique AND len(a.columns) < len(b.columns) AND b.columns[1:len(a.columns)] = a.columns
         JOIN lasting l ON l.schema = a.schema AND l."table" = a."table" """,
-    "idx004": """SELECT DISTINCT schema, "table", 'IDX004' AS rule_id, 'high' AS severity, "column" || '|' || fingerprint AS evidence FROM bare WHERE usage = 'join'""",
-    "idx005": """SELECT DISTINCT l.schema, l."table", 'IDX005' AS rule_id, 'medium' AS severity, kind || '|' || fingerprint AS evidence FROM patterns p JOIN lasting l ON p."table" = l."table" """,
+    "idx004": """SELECT DISTINCT schema, "table", 'IDX004' AS rule_id, 'medium' AS severity, "column" || '|' || fingerprint AS evidence FROM bare WHERE usage = 'join'""",
+    "idx005": """SELECT DISTINCT l.schema, l."table", 'IDX005' AS rule_id, 'medium' AS severity, "column" || '|' || kind || '|' || fingerprint AS evidence FROM patterns p JOIN lasting l ON p."table" = l."table" """,
     "idx101": """SELECT schema, "table", 'IDX101' AS rule_id, 'low' AS severity, row_count || '|' || n AS evidence FROM lasting JOIN
         (SELECT schema, "table", count(*) AS n FROM indexes GROUP BY ALL) USING (schema, "table") WHERE row_count < 5000 AND n > 4""",
     "idx102": """SELECT schema, "table", 'IDX102' AS rule_id, 'medium' AS severity, "index" || '|' || cardinality AS evidence FROM indexes JOIN lasting USING (schema, "table")
         WHERE len(columns) = 1 AND row_count > 0 AND cardinality * 10 < row_count""",
     "idx103": """SELECT c.schema, c."table", 'IDX103' AS rule_id, 'medium' AS severity, c."column" || '|' || round(c.top_share, 4) AS evidence FROM columns c
         JOIN indexed i ON c.schema = i.schema AND c."table" = i."table" AND c."column" = i."column" JOIN lasting l ON l.schema = c.schema AND l."table" = c."table" WHERE c.top_share > 0.9""",
-    "qry101": """SELECT schema, "table", 'QRY101' AS rule_id, CASE WHEN r > 10000 THEN 'high' ELSE 'medium' END AS severity, fingerprint || '|' || r AS evidence
-        FROM (SELECT *, CAST(floor(rows_scanned / greatest(1, rows_returned)) AS BIGINT) AS r FROM slow) WHERE r > 1000""",
+    "qry101": """SELECT schema, "table", 'QRY101' AS rule_id, CASE WHEN r > 10000 THEN 'high' ELSE 'medium' END AS severity, fingerprint || '|' || CAST(floor(r) AS BIGINT) AS evidence
+        FROM (SELECT *, rows_scanned / greatest(1, rows_returned) AS r FROM slow) WHERE r > 1000""",
 }
 
 

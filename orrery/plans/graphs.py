@@ -56,8 +56,10 @@ SEGMENT_SQL = f"""WITH f AS (SELECT repo || '/' || (file_id % 3) || '/' || file_
   s AS (SELECT m, count(*) AS n FROM one GROUP BY m),
   two AS (SELECT CASE WHEN n > 60 THEN d ELSE m END AS m, path FROM one JOIN s USING (m)),
   t AS (SELECT m, count(*) AS n FROM two GROUP BY m),
-  near AS (SELECT a.m AS small, b.m AS big, (SELECT max(i) FROM range(0, 60) r(i) WHERE i <= length(a.m) AND a.m[1:i] = b.m[1:i]) AS l FROM t a, t b WHERE a.n < 5 AND b.n >= 5),
-  into_ AS (SELECT small, arg_min(big, (-l, big)) AS big FROM near GROUP BY small)
+  p AS (SELECT m, n, string_split(m, '/') AS s FROM t),
+  near AS (SELECT a.m AS small, b.m AS big, (SELECT max(i) FROM range(1, 60) r(i) WHERE i <= len(a.s) AND i <= len(b.s) AND a.s[1:i] = b.s[1:i]) AS l FROM p a JOIN p b ON a.s[1] = b.s[1] WHERE a.n < 5 AND b.n >= 5),
+  own AS (SELECT small, arg_min(big, (-l, big)) AS big FROM near GROUP BY small),
+  into_ AS (SELECT * FROM own UNION ALL SELECT m, min(m) OVER (PARTITION BY s[1]) FROM p WHERE n < 5 AND m NOT IN (SELECT small FROM own))
   SELECT coalesce(big, m) AS module, count(*) AS files FROM two LEFT JOIN into_ ON small = m GROUP BY 1"""
 
 CATALOG = {

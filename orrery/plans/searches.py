@@ -37,7 +37,8 @@ def _c(chunks: str) -> str:
     return f"c AS MATERIALIZED (SELECT chunk_id, {WORDS} AS w, len({WORDS}) AS dl FROM ({chunks}))"
 
 
-KNN = f"""SELECT chunk_id, sim FROM (SELECT vec_id * 100000 + 1 AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], {DUCK_QUERY}), 6) AS sim FROM embeddings) ORDER BY sim DESC, chunk_id LIMIT 20"""
+KNN = f"""SELECT chunk_id, round(CASE WHEN d >= 1 THEN 0.0 WHEN d < 0 THEN 1 - abs(d) ELSE 1 - d END, 6) AS sim FROM
+  (SELECT vec_id * 100000 + 1 AS chunk_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], {DUCK_QUERY}), 6) AS d FROM embeddings ORDER BY d, chunk_id LIMIT 20)"""
 
 
 def _recall(s, sf):
@@ -58,14 +59,6 @@ def _symbols_of_chunks(s, sf):
     return n
 
 
-def _symbol(s, sf):
-    hits = R.symbol_hits(V.symbols(s, sf), _symbols_of_chunks(s, sf), NAMES).orderBy("chunk_id").limit(20)
-    return R.ranked(hits, "symbol", F.col("chunk_id"))
-
-
-SYMBOL = f"SELECT p_partkey * 100000 + 1 AS chunk_id FROM part WHERE p_name IN ({', '.join(repr(n) for n in NAMES)}) ORDER BY 1 LIMIT 20"
-
-
 def _expand(s, sf):
     own = V.symbols(s, sf).select(F.col("id").alias("node"), F.col("file_id").cast("long").alias("file_id"))
     seeds = s.createDataFrame([(1,), (42,)], "node long")
@@ -77,38 +70,29 @@ EXPAND = f"""WITH e AS ({V.EDGES}), own AS (SELECT p_partkey AS node, CAST(p_siz
   f0 AS (SELECT DISTINCT file_id FROM seeds JOIN own USING (node)),
   f1 AS (SELECT DISTINCT dst_file AS file_id FROM i WHERE src_file IN (SELECT file_id FROM f0)),
   f2 AS (SELECT DISTINCT dst_file AS file_id FROM i WHERE src_file IN (SELECT file_id FROM f1))
-  SELECT file_id, CAST(min(priority) AS INTEGER) AS priority FROM (SELECT own.file_id, CASE WHEN resolution = 'exact' THEN 0 ELSE 1 END AS priority FROM both_ways b JOIN seeds USING (node) JOIN own ON own.node = b.o
-    UNION ALL SELECT file_id, 2 FROM f1 UNION ALL SELECT file_id, 3 FROM f2) GROUP BY file_id"""
+  SELECT file_id, CAST(min(priority) AS INTEGER) AS priority FROM (SELECT own.file_id, CASE WHEN resolution = 'exact' THEN 0 ELSE 1 END AS priority FROM both_ways b JOIN seeds USING (node) JOIN own ON own.node = b.o WHERE b.o NOT IN (FROM seeds)
+    UNION ALL SELECT file_id, 2 FROM f0 UNION ALL SELECT file_id, 3 FROM f1 UNION ALL SELECT file_id, 4 FROM f2) GROUP BY file_id"""
 
 
 def _hybrid(s, sf):
-    graph = _expand(s, sf).orderBy("priority", "file_id").limit(20).select((F.col("file_id") * 100000 + 1).alias("chunk_id"), "priority")
-    fused = R.fuse(_fts(s, sf), _knn(s, sf, -1.0), _symbol(s, sf), R.ranked(graph, "graph", F.col("priority"), F.col("chunk_id"), offset=120))
-    best = fused.orderBy(F.desc("score"), "chunk_id").limit(20)
-    docs = V.files(s, sf).select("file_id", "path")
-    return best.withColumn("file_id", F.floor(F.col("chunk_id") / 100000)).join(docs, "file_id", "left").select("chunk_id", "path", "score", "sources")
-
-
-def _hybrid_all(s, sf):
-    """Hybrid search without limits before the last; a document's chunks belong to the part of its number."""
+    """Hybrid search without limits before the last; a document's chunks belong to the part of its number. What the names
+    hit is not also a hit of the graph."""
     chunks = V.chunks(s, sf).select("chunk_id", "file_id", F.col("file_id").alias("symbol_id"))
     own = V.symbols(s, sf).select(F.col("id").alias("node"), F.col("file_id").cast("long").alias("file_id"))
     hits = R.symbol_hits(V.symbols(s, sf), chunks, NAMES)
     graph = R.graph_chunks(V.edges(s, sf), V.imports(s, sf), s.createDataFrame([(1,), (42,)], "node long"), own, chunks, 2)
     graph = graph.join(hits, "chunk_id", "left_anti")
-    fused = R.fuse(_fts(s, sf), _knn(s, sf, -1.0), R.ranked_all(hits, "symbol", "chunk_id"), R.ranked_all(graph, "graph", "priority", "chunk_id", offset=120))
-    best = fused.orderBy(F.desc("score"), "chunk_id").limit(20)
+    fused = R.fuse(_knn(s, sf, 0.25), _fts(s, sf), R.ranked_all(hits, "symbol", "chunk_id"), R.ranked_all(graph, "graph", "priority", "chunk_id", offset=120))
     docs = V.files(s, sf).select("file_id", "path")
-    return best.withColumn("file_id", F.floor(F.col("chunk_id") / 100000)).join(docs, "file_id", "left").select("chunk_id", "path", "score", "sources")
+    return R.best(fused, 20).withColumn("file_id", F.floor(F.col("chunk_id") / 100000)).join(docs, "file_id", "left").select("chunk_id", "path", "score", "sources")
 
 
-LISTS = f"""fts AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS r, 'fts' AS source, 0 AS off FROM ({_bm25_sql('')})),
-  vec AS (SELECT chunk_id, row_number() OVER (ORDER BY sim DESC, chunk_id) - 1 AS r, 'vector' AS source, 0 AS off FROM ({KNN})),
-  sym AS (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) - 1 AS r, 'symbol' AS source, 0 AS off FROM ({SYMBOL}))"""
-FUSE = "SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + r + off)), 6) AS score, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM ({}) GROUP BY chunk_id"
-HYBRID_ALL = f"""WITH {_c(V.CHUNKS)}, {LISTS}, ch AS ({V.CHUNKS}), e AS ({V.EDGES}), i AS ({V.IMPORTS}), seeds AS (SELECT unnest([1, 42]) AS node),
+LISTS = f"""vec AS (SELECT chunk_id, row_number() OVER (ORDER BY sim DESC, chunk_id) - 1 AS r, 'vector' AS source, 0 AS off, 0 AS l FROM ({KNN}) WHERE sim >= 0.25),
+  fts AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS r, 'fts' AS source, 0 AS off, 1 AS l FROM ({_bm25_sql('')}))"""
+FUSE = """SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + r + off)), 9) AS score, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, min((l, r)) AS first FROM ({}) GROUP BY chunk_id"""
+HYBRID = f"""WITH {_c(V.CHUNKS)}, {LISTS}, ch AS ({V.CHUNKS}), e AS ({V.EDGES}), i AS ({V.IMPORTS}), seeds AS (SELECT unnest([1, 42]) AS node),
   named AS (SELECT chunk_id FROM ch WHERE file_id IN (SELECT p_partkey FROM part WHERE p_name IN ({', '.join(repr(n) for n in NAMES)}))),
-  all_sym AS (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) - 1 AS r, 'symbol' AS source, 0 AS off FROM named),
+  all_sym AS (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) - 1 AS r, 'symbol' AS source, 0 AS off, 2 AS l FROM named),
   near AS (SELECT dst AS node, resolution FROM e WHERE src IN (FROM seeds) UNION ALL SELECT src, resolution FROM e WHERE dst IN (FROM seeds)),
   f0 AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS file_id FROM part WHERE p_partkey IN (FROM seeds)),
   f1 AS (SELECT DISTINCT dst_file AS file_id FROM i WHERE src_file IN (FROM f0)),
@@ -117,8 +101,8 @@ HYBRID_ALL = f"""WITH {_c(V.CHUNKS)}, {LISTS}, ch AS ({V.CHUNKS}), e AS ({V.EDGE
     SELECT chunk_id, CASE WHEN resolution = 'exact' THEN 0 ELSE 1 END AS priority FROM ch JOIN near ON file_id = node WHERE node NOT IN (FROM seeds)
     UNION ALL SELECT chunk_id, 2 FROM ch WHERE file_id IN (FROM f0) UNION ALL SELECT chunk_id, 3 FROM ch WHERE file_id IN (FROM f1)
     UNION ALL SELECT chunk_id, 4 FROM ch WHERE file_id IN (FROM f2)) WHERE chunk_id NOT IN (FROM named) GROUP BY chunk_id),
-  gr AS (SELECT chunk_id, row_number() OVER (ORDER BY priority, chunk_id) - 1 AS r, 'graph' AS source, 120 AS off FROM g),
-  b AS (SELECT * FROM ({FUSE.format('SELECT * FROM fts UNION ALL SELECT * FROM vec UNION ALL SELECT * FROM all_sym UNION ALL SELECT * FROM gr')}) ORDER BY score DESC, chunk_id LIMIT 20)
+  gr AS (SELECT chunk_id, row_number() OVER (ORDER BY priority, chunk_id) - 1 AS r, 'graph' AS source, 120 AS off, 3 AS l FROM g),
+  b AS (SELECT * FROM ({FUSE.format('SELECT * FROM fts UNION ALL SELECT * FROM vec UNION ALL SELECT * FROM all_sym UNION ALL SELECT * FROM gr')}) ORDER BY score DESC, first LIMIT 20)
   SELECT chunk_id, path, score, sources FROM b LEFT JOIN ({V.FILES}) f ON f.file_id = chunk_id // 100000"""
 RANK_BUDGET = 2000
 CATALOG = {
@@ -140,17 +124,10 @@ CATALOG = {
     ),
     "graph_expand": (_expand, EXPAND),
     "rrf_fusion": (
-        lambda s, sf: R.fuse(_fts(s, sf), _knn(s, sf)),
-        f"WITH {_c(V.CHUNKS)}, {LISTS} {FUSE.format('SELECT * FROM fts UNION ALL SELECT * FROM vec')}",
-    ),
-    "hybrid_search": (
-        _hybrid,
-        f"""WITH {_c(V.CHUNKS)}, {LISTS}, gr AS (SELECT file_id * 100000 + 1 AS chunk_id, row_number() OVER (ORDER BY priority, file_id) - 1 AS r, 'graph' AS source, 120 AS off
-          FROM (SELECT * FROM ({EXPAND}) ORDER BY priority, file_id LIMIT 20)),
-        b AS (SELECT * FROM ({FUSE.format('SELECT * FROM fts UNION ALL SELECT * FROM vec UNION ALL SELECT * FROM sym UNION ALL SELECT * FROM gr')}) ORDER BY score DESC, chunk_id LIMIT 20)
-        SELECT chunk_id, path, score, sources FROM b LEFT JOIN ({V.FILES}) f ON f.file_id = chunk_id // 100000""",
+        lambda s, sf: R.fuse(_knn(s, sf, 0.25), _fts(s, sf)).drop("first"),
+        f"WITH {_c(V.CHUNKS)}, {LISTS} SELECT chunk_id, score, sources FROM ({FUSE.format('SELECT * FROM fts UNION ALL SELECT * FROM vec')})",
     ),
-    "hybrid_search_all": (_hybrid_all, HYBRID_ALL),
+    "hybrid_search": (_hybrid, HYBRID),
     "rerank_pool": (
         lambda s, sf: table(s, sf, "orders").groupBy("o_orderstatus").agg(R.rerank_pool(F.count("*")).cast("long").alias("pool")),
         "SELECT o_orderstatus, CAST(greatest(10, least(50, count(*) // 10)) AS BIGINT) AS pool FROM orders GROUP BY 1",

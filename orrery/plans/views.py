@@ -92,10 +92,10 @@ INDEXES = """SELECT schema, "table", "index", {split} AS columns, is_unique, car
   AS t(schema, "table", "index", cs, is_unique, cardinality)"""
 ACCESSES = """SELECT * FROM (VALUES ('q1', 'A.xml:3', 't_order', 'status', 'where', 2), ('q1', 'A.xml:3', 't_order', 'memo', 'where', 2), ('q2', 'B.xml:9', 't_item', 'order_id', 'where', 1),
   ('q3', 'B.xml:30', 't_item', 'order_id', 'where', 2), ('q4', 'C.java:7', 't_item', 'order_id', 'join', 1), ('q4', 'C.java:7', 't_order', 'id', 'join', 1), ('q5', 'D.java:1', 't_no_pk', 'code', 'where', 1),
-  ('q6', 'D.java:4', 't_user', 'phone', 'where', 5), ('q7', 'D.java:8', 't_event', 'user_id', 'where', 9), ('q7', 'D.java:9', 't_event', 'user_id', 'join', 9), ('q8', 'E.java:1', 't_tmp_scratch', 'x', 'where', 9),
+  ('q6', 'D.java:4', 't_user', 'phone', 'where', 5), ('q10', 'D.java:5', 't_no_pk', 'code', 'where', 0), ('q11', 'D.java:6', 't_no_pk', 'code', 'where', CAST(NULL AS INT)), ('q7', 'D.java:8', 't_event', 'user_id', 'where', 9), ('q7', 'D.java:9', 't_event', 'user_id', 'join', 9), ('q8', 'E.java:1', 't_tmp_scratch', 'x', 'where', 9),
   ('q9', 'E.java:2', 't_order', 'nothere', 'where', 9)) AS t(fingerprint, location, "table", "column", usage, freq)"""
-PATTERNS = """SELECT * FROM (VALUES ('t_order', 'leading wildcard', 'q1'), ('t_order', 'leading wildcard', 'q1'), ('t_user', 'function on column', 'q6'), ('t_other', 'leading wildcard', 'q7')) AS t("table", kind, fingerprint)"""
-SLOW = """SELECT * FROM (VALUES ('shop', 't_order', 's1', 2500000, 6), ('shop', 't_item', 's2', 90000, 8), ('crm', 't_user', 's3', 500, 1), ('crm', 't_user', 's4', 1500, 0)) AS t(schema, "table", fingerprint, rows_scanned, rows_returned)"""
+PATTERNS = """SELECT * FROM (VALUES ('t_order', 'memo', 'leading wildcard', 'q1'), ('t_order', 'memo', 'leading wildcard', 'q1'), ('t_order', 'status', 'leading wildcard', 'q1'), ('t_user', 'phone', 'function on column', 'q6'), ('t_other', 'x', 'leading wildcard', 'q7')) AS t("table", "column", kind, fingerprint)"""
+SLOW = """SELECT * FROM (VALUES ('shop', 't_order', 's1', 2500000, 6), ('shop', 't_item', 's2', 90000, 8), ('crm', 't_user', 's3', 500, 1), ('crm', 't_user', 's4', 1500, 0), ('crm', 't_user', 's5', 2001, 2), ('crm', 't_user', 's6', 20001, 2), ('crm', 't_user', 's7', 1000, 1)) AS t(schema, "table", fingerprint, rows_scanned, rows_returned)"""
 #: DuckDB quotes reserved words, Spark uses backticks.
 DUCK_INDEXES = INDEXES.format(split="string_split(cs, ',')")
 
