@@ -3,6 +3,8 @@ cannot express are Arrow UDFs at the end."""
 
 from __future__ import annotations
 
+import unicodedata
+
 import hashlib
 
 import pandas as pd
@@ -18,9 +20,20 @@ def token_estimate(content: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(content) / 3)).cast("long")
 
 
+def _plain() -> tuple[str, str]:
+    """Latin letters with marks, and the same without."""
+    points = [chr(i) for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    plain = {c: "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)) for c in points}
+    pairs = [(c, p) for c, p in plain.items() if p != c and len(p) == 1 and p.isascii()]
+    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+
+
+MARKED, PLAIN = _plain()
+
+
 def document_terms(content: Column) -> Column:
-    """Lower-cased runs of letters and digits, repeats kept: the terms of the full-text index."""
-    return F.regexp_extract_all(F.lower(content), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Lower-cased runs of letters and digits without diacritics, repeats kept: the terms of the full-text index."""
+    return F.regexp_extract_all(F.lower(F.translate(content, MARKED, PLAIN)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def camel_parts(token: Column) -> Column:
@@ -88,11 +101,21 @@ def argument_count(sig: Column) -> Column:
     """Commas outside nested brackets between the first opening and the last closing bracket, plus one; 0 if there is
     nothing between; null without brackets or if they do not match."""
     inner = F.regexp_extract(sig, r"(?s)\((.*)\)", 1)
-    flat = inner
-    for _ in range(6):  # nested groups go from the inside out
-        flat = F.regexp_replace(flat, r"[(<\[][^()<>\[\]]*[)>\]]", "")
-    has = sig.rlike(r"(?s)\(.*\)") & ~flat.rlike(r"[()<>\[\]]")
-    return F.when(has, F.when(F.trim(inner) == "", 0).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(","))) + 1)).cast("int")
+    marks = F.split(F.regexp_replace(inner, r"[^()<>\[\],]", ""), "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("commas"), F.lit(True).alias("good"))
+
+    def step(s: Column, c: Column) -> Column:
+        depth = s["depth"] + F.when(c.isin("(", "<", "["), 1).when(c.isin(")", ">", "]"), -1).otherwise(0)
+        return F.struct(depth.alias("depth"), (s["commas"] + F.when((c == ",") & (s["depth"] == 0), 1).otherwise(0)).alias("commas"), (s["good"] & (depth >= 0)).alias("good"))
+
+    done = F.aggregate(marks, start, step)
+    has = sig.rlike(r"(?s)\(.*\)") & done["good"] & (done["depth"] == 0)
+    return F.when(has, F.when(F.trim(inner) == "", 0).otherwise(done["commas"] + 1)).cast("int")
+
+
+def base_type(kind: Column) -> Column:
+    """A column type's name in capitals, without what is in brackets."""
+    return F.upper(F.trim(F.split_part(kind, F.lit("("), F.lit(1))))
 
 
 def scrubbed_ddl(ddl: Column) -> Column:

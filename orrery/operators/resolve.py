@@ -38,9 +38,9 @@ def import_edges(parses: DataFrame, symbols: DataFrame) -> DataFrame:
     ts = refs.where(F.col("language").isin(*CODE) & F.col("target").rlike(r"^(\.|@/)"))
     here = F.array_join(F.slice(folders, F.lit(1), F.size(folders) - 1), "/")
     joined = F.when(F.col("target").startswith("@/"), F.concat(F.lit("src/"), F.expr("substring(target, 3)"))).otherwise(F.concat_ws("/", F.nullif(here, F.lit("")), "target"))
-    ts = ts.withColumn("stem", F.regexp_replace(F.regexp_replace(joined, r"(^|/)(\./)+", "$1"), r"/\.$", ""))
-    for _ in range(8):
-        ts = ts.withColumn("stem", F.regexp_replace("stem", r"(^|/)(?!\.\./)[^/]+/\.\.(/|$)", "$1"))
+    up = lambda s, x: F.when((x != "..") | (F.size(s) == 0) | (F.element_at(s, -1) == ".."), F.concat(s, F.array(x))).otherwise(F.slice(s, F.lit(1), F.size(s) - 1))
+    parts = F.filter(F.split(joined, "/"), lambda x: ~x.isin("", "."))
+    ts = ts.withColumn("stem", F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/"))
     ts = ts.where(~F.col("stem").startswith("..")).select("path", "ref", F.posexplode(F.array(*(F.concat("stem", F.lit(x)) for x in SUFFIXES))).alias("priority", "to"))
     found = python.unionByName(ts).join(modules.select(F.col("path").alias("to")), "to", "left_semi")
     found = found.groupBy("path", "ref").agg(F.min_by("to", "priority").alias("to")).select("path", "to")

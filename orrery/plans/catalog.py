@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.plans import audits, graphs, pages, searches, tables
+from orrery.plans import audits, features, graphs, pages, searches, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (tables, graphs, searches, audits, pages)
+MODULES = (tables, graphs, searches, audits, pages, features)
 
 
 def queries() -> dict[str, Query]:

@@ -12,7 +12,7 @@ from orrery.session import table
 TERMS = ["que", "thing", "thnd"]
 QUERY = [1.0 if i % 2 else 0.5 for i in range(64)]
 DUCK_QUERY = "[" + ", ".join(map(str, QUERY)) + "]::DOUBLE[]"
-WORDS = "regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')"
+WORDS = "regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}]+')"
 NAMES = ["red widget", "blue bolt", "hot gear"]
 
 
@@ -107,8 +107,9 @@ HYBRID = f"""WITH {_c(V.CHUNKS)}, {LISTS}, ch AS ({V.CHUNKS}), e AS ({V.EDGES}),
 RANK_BUDGET = 2000
 CATALOG = {
     "term_stats": (
-        lambda s, sf: table(s, sf, "documents").select("doc_id", F.explode(document_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("tf"), F.count_distinct("doc_id").alias("df")),
-        "SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY term",
+        lambda s, sf: table(s, sf, "documents").select("doc_id", F.explode(document_terms(F.col("text"))).alias("term"))
+        .groupBy("term", "doc_id").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df")),
+        "SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY term",
     ),
     "postings": (
         lambda s, sf: R.postings(V.chunks(s, sf)).groupBy("chunk_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens")),
