@@ -1,16 +1,19 @@
 """HTML extraction: boosted trees over the features of DOM nodes.
 
-A tolerant parser makes a tree of each page. Features of an element are its tag, its attributes' tokens (hashed), depth,
-text and link density of its subtree, and the same of its siblings and ancestors. Gradient-boosted trees give the odds
+A tolerant parser makes a tree of each page. Features of an element are its tag, what its attributes' tokens say (hashed
+tokens of class, id and role, each with the log odds of main text that it has in the training pages: the least, the
+greatest and the sum of its own, and the extremes on the way to the root), section tags on that way, depth, text and link density of its subtree, and
+the same of its parent, of its previous and next sibling, and of the median sibling. Gradient-boosted trees give the odds
 that an element's own text is main text. Decoding goes down from the root: an element is kept or dropped as a whole
 once the odds of its subtree (its texts' own odds, weighted by length, with its own prior) are clear, and what lies
-below a dropped element stays dropped, so an ancestor and its descendants never contradict each other.
+below a dropped element stays dropped, so an ancestor and its descendants never contradict each other. Scripts, styles,
+forms and their controls, and the page's head are dropped by their tags; nothing else is, hidden elements included.
 
-There are no labelled pages, so the trees learn from pages that mark their parts themselves: below ``article`` or
-``main`` is main text; below ``nav``, ``header``, ``footer``, ``aside``, ``form`` and elements whose attributes name
-adverts, menus, comments and so on is not. Attribute names and tags are features too, and half of the training pages have
-their section tags replaced by plain ``div``, so that the shape has to tell on pages without them. TRAIN_PAGES built from
-a fixed generator of page shapes teach the forms that a corpus may lack; the corpus adds SAMPLE_PAGES at most.
+There are no labelled pages. TRAIN_PAGES come from a fixed generator of page shapes, which knows what it writes as main text
+and what as menu, advert, notice, comment and so on, inside articles too. Pages of the corpus that have an ``article`` or
+``main`` element add to them, SAMPLE_PAGES at most: what is in it is main text, but for ``nav``, ``header``, ``footer``,
+``aside`` and ``form``, and what is outside is not. Half of all training pages have their section tags replaced by plain
+``div``, so that shape and attributes have to tell on pages without them.
 
 Defined cases: a null or empty page has no text; a page without main text has an empty one; unclosed, misnested and cut
 tags are closed where they must be; repeated rows repeat their result; extra columns are ignored; empty tables give no rows.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from functools import lru_cache
 from html import unescape
 from math import log1p
@@ -31,12 +35,13 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import sigmoid, text_slices
 
-SAMPLE_PAGES, TRAIN_PAGES, SAMPLE_CHARS = 150, 250, 200_000
+SAMPLE_PAGES, TRAIN_PAGES, SAMPLE_CHARS = 150, 350, 200_000
+TOKENS = 4096
 TREES, DEPTH, RATE, BINS = 30, 4, 0.3, 24
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg select".split())
-NEVER = frozenset("script style head title noscript iframe template textarea select option button svg math object canvas audio video form input label".split())
+RAW = frozenset("script style textarea title noscript iframe template select".split())
+NEVER = frozenset("script style head title noscript iframe template textarea select option button form input".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -54,33 +59,33 @@ CLOSES = {
 SCOPE = frozenset("article aside body div footer header html main nav section table td th blockquote form".split())
 GOOD_TAGS = frozenset({"article", "main"})
 BAD_TAGS = frozenset({"nav", "header", "footer", "aside", "form", "menu"})
-BAD_WORDS = re.compile(
-    r"(?:^|[-_ ])(ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|foot|header|masthead|cookies?|notice"
-    r"|consent|gdpr|popup|modal|newsletter|subscribe|comments?|disqus|reply|replies|respond|share|sharing|social|related|recommend\w*|widget|login"
-    r"|signup|search|toolbar|pagination|pager|copyright|legal|disclaimer|tags?)(?:$|[-_ ])",
-    re.I,
-)
-GOOD_WORDS = re.compile(r"(?:^|[-_ ])(article|content|main|post|entry|story|body|text)(?:$|[-_ ])", re.I)
+NAME = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "parent", "children", "depth", "chars", "link", "marks", "blocks", "order")
+    __slots__ = ("tag", "tokens", "hidden", "truth", "parent", "children", "depth", "chars", "link", "marks", "blocks", "order")
 
     def __init__(self, tag: str, attributes: str, parent):
         self.tag, self.parent, self.children = tag, parent, []
         self.depth = parent.depth + 1 if parent else 0
-        self.names, self.role, self.hidden = "", "", False
+        self.tokens, self.hidden, self.truth = (), False, None
         self.chars = self.link = self.marks = self.blocks = 0
         if attributes:
             found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
-            self.names = f"{found.get('class', '')} {found.get('id', '')}".strip()
-            self.role = found.get("role", "")
+            self.tokens = hashed(f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}")
+            self.truth = found.get("data-truth")  # generated pages have it; only labels are made of it
             self.hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
 
 
+@lru_cache(100_000)
+def hashed(names: str) -> tuple[int, ...]:
+    """The places of the attribute tokens: their letters' runs, in lower case."""
+    return tuple(sorted({zlib.crc32(t.encode()) % TOKENS for t in NAME.findall(names.lower())}))
+
+
 def parse(html: str) -> Node:
     """The tree. Children are nodes and strings (raw text with references)."""
     root = Node("#", "", None)
@@ -167,33 +172,52 @@ TAGS = ["p", "div", "li", "a", "h1", "h2", "h3", "td", "span", "ul", "article",
 TAG_NUMBER = {t: i + 1 for i, t in enumerate(TAGS)}
 
 
-@lru_cache(100_000)
-def named(names: str, tag: str, role: str) -> tuple[bool, bool]:
-    """Whether tag, attribute tokens or role speak against main text, and whether for it."""
-    bad = bool(names and BAD_WORDS.search(names)) or tag in BAD_TAGS or role in ("navigation", "banner", "contentinfo", "complementary", "search")
-    return bad, bool(names and GOOD_WORDS.search(names)) or tag in GOOD_TAGS or role in ("main", "article")
-
-
-def features(order: list[Node]) -> np.ndarray:
-    good, bad, links = ([False] * len(order) for _ in range(3))
+def features(order: list[Node], odds: np.ndarray) -> np.ndarray:
+    """odds: the log odds of main text of each attribute token."""
+    odds = odds.tolist()
+    least, most, links, good, bad = ([0.0] * len(order) for _ in range(5))
     rows, top, total = [], max(1, order[0].chars), len(order)
+    near: dict[int, tuple] = {0: ((0.0,) * 6, 0.0, 0.0)}  # of a node: previous and next sibling, and the median of all
+    for n in order:
+        inner = [c for c in n.children if isinstance(c, Node)]
+        if inner:
+            size = [log1p(c.chars) for c in inner]
+            link = [c.link / max(1, c.chars) for c in inner]
+            middle = (sorted(size)[len(size) // 2], sorted(link)[len(link) // 2])
+            for k, c in enumerate(inner):
+                before = (size[k - 1], link[k - 1], float(inner[k - 1].tag == c.tag)) if k else (-1.0, -1.0, 0.0)
+                after = (size[k + 1], link[k + 1], float(inner[k + 1].tag == c.tag)) if k + 1 < len(inner) else (-1.0, -1.0, 0.0)
+                near[c.order] = ((*before, *after), *middle)
     for i, n in enumerate(order):
         up = n.parent
-        own_bad, own_good = named(n.names, n.tag, n.role)
-        chars, at = n.chars, max(1, n.chars)
+        own = [odds[t] for t in n.tokens]
+        low, high, chars, at = min(own, default=0.0), max(own, default=0.0), n.chars, max(1, n.chars)
         if up:
             k, wide = up.order, max(1, up.chars)
-            good[i], bad[i], links[i] = good[k] or own_good, bad[k] or own_bad, links[k] or n.tag == "a"
+            least[i], most[i], links[i] = min(least[k], low), max(most[k], high), float(links[k] or n.tag == "a")
+            good[i], bad[i] = float(good[k] or n.tag in GOOD_TAGS), float(bad[k] or n.tag in BAD_TAGS)
             above = (log1p(up.chars), up.link / wide, up.marks / wide, log1p(len(up.children)), TAG_NUMBER.get(up.tag, 0), up.parent.link / max(1, up.parent.chars) if up.parent else 0)
         else:
             above = (0, 0, 0, 0, 0, 0)
+        around, size, link = near[i]
         rows.append(
-            (TAG_NUMBER.get(n.tag, 0), n.depth, log1p(chars), n.link / at, n.marks / at, log1p(n.blocks), chars / (n.blocks + 1), own_bad, own_good,
-             good[i], bad[i], links[i], chars / top, i / total, n.hidden, len(n.names) > 0, *above)
+            (TAG_NUMBER.get(n.tag, 0), n.depth, log1p(chars), n.link / at, n.marks / at, log1p(n.blocks), chars / (n.blocks + 1), low, high, sum(own),
+             least[i], most[i], links[i], good[i], bad[i], chars / top, i / total, n.hidden, len(own), *above, *around, size, link)
         )
     return np.array(rows, np.float32)
 
 
+def token_odds(pages: list[tuple[list[Node], np.ndarray]]) -> np.ndarray:
+    """The smoothed log odds of each attribute token in labelled pages."""
+    n = np.ones((2, TOKENS))
+    for order, y in pages:
+        for node, label in zip(order, y.tolist(), strict=True):
+            if label >= 0:
+                for t in node.tokens:
+                    n[label, t] += 1
+    return np.log(n[1]) - np.log(n[0])
+
+
 class Trees:
     """Boosted regression trees with logistic loss, on binned features."""
 
@@ -266,7 +290,7 @@ def decode(order: list[Node], odds: np.ndarray) -> list[bool]:
     keep = [True] * len(order)
     for n in order[1:]:
         i = n.order
-        keep[i] = keep[n.parent.order] and n.tag not in NEVER and not n.hidden
+        keep[i] = keep[n.parent.order] and n.tag not in NEVER
         if keep[i] and n.tag in BLOCK and n.tag not in ("html", "body"):
             # the whole's odds count as much as its own: a short heading follows its section
             up = n.parent.order
@@ -316,7 +340,7 @@ def extract(html: str | None, trees: Trees) -> str:
 def extract_all(pages: list, trees: Trees) -> list[str]:
     """The main text of each page; the trees are asked once for all of them."""
     orders = [measure(parse(html)) if html else None for html in pages]
-    some = [features(order) for order in orders if order]
+    some = [features(order, trees.tokens) for order in orders if order]
     odds = trees.odds(np.vstack(some)) if some else np.zeros(0)
     out, at = [], 0
     for order in orders:
@@ -329,74 +353,130 @@ def extract_all(pages: list, trees: Trees) -> list[str]:
 
 
 def marked(order: list[Node]) -> np.ndarray:
-    """1: main text by the page's own marks, 0: not, -1: the page doesn't say."""
+    """1: main text, 0: not, -1: neither is said. By what the generator wrote, else by section tags."""
     out = np.full(len(order), -1)
-    sure = any(n.tag in GOOD_TAGS for n in order)
+    told = any(n.truth for n in order)
+    holds = [n.tag in GOOD_TAGS or n.truth == "1" for n in order]
+    for n in reversed(order):
+        if n.parent and holds[n.order]:
+            holds[n.parent.order] = True
     for n in order[1:]:
-        up = out[n.parent.order]
-        bad = n.tag in BAD_TAGS or bool(n.names and BAD_WORDS.search(n.names)) or n.tag in NEVER or n.hidden
-        out[n.order] = 0 if bad or up == 0 else 1 if n.tag in GOOD_TAGS or up == 1 else (0 if sure and not any(c.tag in GOOD_TAGS for c in _below(n)) else -1)
+        i, up = n.order, out[n.parent.order]
+        if told:
+            out[i] = int(n.truth) if n.truth else up
+        elif n.tag in BAD_TAGS or n.tag in NEVER or up == 0:
+            out[i] = 0
+        else:
+            out[i] = 1 if n.tag in GOOD_TAGS or up == 1 else (-1 if holds[i] or not holds[0] else 0)
     return out
 
 
-def _below(node: Node):
-    stack = [node]
-    while stack:
-        n = stack.pop()
-        yield n
-        stack.extend(c for c in n.children if isinstance(c, Node))
+#: Names that pages give their parts: what the generator writes, not a list that decides.
+NAMES = {
+    "menu": "nav menu navbar topnav breadcrumb breadcrumbs main-menu site-nav navigation pagination pager toolbar tabs",
+    "head": "header masthead site-header banner top-bar branding",
+    "foot": "footer site-footer foot bottom copyright legal colophon",
+    "side": "sidebar aside side related recommended widget rail most-read",
+    "note": "notice cookie-notice cookies consent gdpr popup modal newsletter subscribe alert disclaimer paywall login signup",
+    "ad": "ad ads advert advertisement ad-slot banner-ad sponsor sponsored promo promotion teaser outbrain taboola commercial",
+    "share": "share social sharing share-buttons follow tags",
+    "talk": "comments comment-list discussion replies responses cmt disqus respond reader-comments thread",
+    "main": "content article post entry story main body article-body text post-content",
+}
 
 
 def generated(seed: int) -> str:
-    """A page of one of many shapes, with sections marked by tags, by names, or both."""
+    """A page of one of many shapes, with sections marked by tags, by names, or both; ``data-truth`` says what is main text."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(("ta", "re", "mi", "so", "lu", "ken", "da")) for _ in range(r.randint(1, 4)))
     say = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
     para = lambda: " ".join(say(r.randint(5, 14)) for _ in range(r.randint(1, 6)))
     links = lambda n: "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(n))
-    part = lambda tag, name, inner: f"<{tag} class='{name}'>{inner}</{tag}>" if r.random() < 0.5 else f"<div id='{name}'>{inner}</div>"
-    head = part("header", "header", f"<a href='/'>{word()}</a> {say(3)}") if r.random() < 0.6 else ""
-    nav = part("nav", r.choice(("menu", "nav", "breadcrumb")), f"<ul>{links(r.randint(3, 9))}</ul>")
-    note = part("div", r.choice(("cookie-notice", "notice", "ad", "banner", "newsletter")), f"<p>{say(8)}</p>") if r.random() < 0.7 else ""
-    side = part("aside", r.choice(("sidebar", "related")), f"<h3>{say(2)}</h3><ul>{links(5)}</ul><p>{say(6)}</p>") if r.random() < 0.5 else ""
-    form = f"<form><label>{word()}</label><input name='q'><button>{word()}</button></form>" if r.random() < 0.4 else ""
-    talk = part("section", "comments", "".join(f"<div class='comment'><b>{word()}</b><p>{para()}</p></div>" for _ in range(r.randint(1, 4)))) if r.random() < 0.5 else ""
-    foot = part("footer", "footer", f"&copy; {word()} {say(6)} <a href='/x'>{word()}</a>")
-    body = f"<h1>{say(6)}</h1>" + "".join(
-        r.choice((f"<p>{para()}</p>", f"<p>{para()}", f"<h2>{say(4)}</h2><p>{para()}</p>", f"<blockquote><p>{para()}</p></blockquote>", f"<ul><li>{say(9)}</li><li>{say(9)}</li></ul>", f"<p>{say(9)} <a href='/y'>{word()}</a> {say(9)}</p>", f"<p>{say(3)}</p>"))
-        for _ in range(r.randint(1, 9))
-    )
-    main = f"<article>{body}</article>" if r.random() < 0.6 else f"<main>{body}</main>"
-    inner = f"<div id='content'>{note if r.random() < 0.5 else ''}{main}{talk}</div>" if r.random() < 0.5 else f"{main}{talk}"
-    return f"<html><head><title>{word()}</title><style>p{{}}</style></head><body>{head}{nav}{note}{form}{inner}{side}{foot}</body></html>"
+    name = lambda kind: r.choice(NAMES[kind].split())
+
+    def part(tag: str, kind: str, inner: str) -> str:
+        how = r.random()
+        if how < 0.4 and tag != "div":
+            return f"<{tag} data-truth='0'>{inner}</{tag}>"
+        tag = tag if how < 0.6 else "div"
+        return f"<{tag} {r.choice(('class', 'id', 'class'))}='{name(kind)}' data-truth='0'>{inner}</{tag}>"
+
+    def aside() -> str:
+        return r.choice(
+            (
+                lambda: part("div", "ad", f"<p>{say(r.randint(4, 12))}</p>" if r.random() < 0.5 else say(r.randint(3, 12))),
+                lambda: part("div", "note", f"<p>{say(8)}</p>"),
+                lambda: part("div", "share", f"<ul>{links(3)}</ul>"),
+                lambda: part("aside", "side", f"<h3>{say(2)}</h3><ul>{links(4)}</ul>"),
+            )
+        )()
+
+    head = part("header", "head", f"<a href='/'>{word()}</a> {say(3)}") if r.random() < 0.6 else ""
+    nav = part("nav", "menu", f"<ul>{links(r.randint(3, 9))}</ul>")
+    note = part("div", "note", f"<p>{say(8)}</p>") if r.random() < 0.5 else ""
+    ad = part("div", "ad", r.choice((say(5), f"<p>{say(8)}</p>", para()))) if r.random() < 0.6 else ""
+    side = part("aside", "side", f"<h3>{say(2)}</h3><ul>{links(5)}</ul><p>{say(6)}</p>") if r.random() < 0.5 else ""
+    form = f"<form data-truth='0'><label>{word()}</label><input name='q'><button>{word()}</button></form>" if r.random() < 0.4 else ""
+    one = lambda: f"<div class='{r.choice(('comment', 'reply', 'message', 'item'))}'><b>{word()}</b><p>{para()}</p></div>"
+    talk = part("section", "talk", "".join(one() for _ in range(r.randint(1, 4)))) if r.random() < 0.5 else ""
+    foot = part("footer", "foot", f"&copy; {word()} {say(6)} <a href='/x'>{word()}</a>")
+    odd = lambda: r.choice(
+        (f"<p>{word()}: <math>{word()}={word()}</math> {word()}</p>", f"<p>{word()} <label>{word()}</label> <span hidden>{word()}</span> {word()}</p>", f"<svg><text>{word()} {word()}</text></svg>",
+         f"<figure><img src='/i'><figcaption>{say(4)}</figcaption></figure>", f"<table><tr><th>{word()}</th><td>{word()}</td></tr></table>", f"<pre>{word()} {word()}</pre>")
+    )
+    piece = lambda: r.choice((f"<p>{para()}</p>", f"<p>{para()}", f"<h2>{say(4)}</h2><p>{para()}</p>", f"<blockquote><p>{para()}</p></blockquote>", f"<ul><li>{say(9)}</li><li>{say(9)}</li></ul>", f"<p>{say(9)} <a href='/y'>{word()}</a> {say(9)}</p>", f"<p>{say(3)}</p>", odd()))
+    pieces = [f"<h1>{say(6)}</h1>"] + [piece() for _ in range(r.randint(1, 9))]
+    for _ in range(r.choice((0, 0, 1, 2))):
+        pieces.insert(r.randint(1, len(pieces)), aside())
+    if talk and r.random() < 0.3:
+        pieces.append(talk)
+        talk = ""
+    tag = r.choice(("article", "article", "main"))
+    attribute = f" class='{name('main')}'" if r.random() < 0.5 else ""
+    main = f"<{tag}{attribute} data-truth='1'>{''.join(pieces)}</{tag}>"
+    if r.random() < 0.12:  # a fragment
+        return main if r.random() < 0.5 else f"{nav}{main}"
+    inner = f"<div id='{name('main')}'>{note if r.random() < 0.5 else ''}{main}{talk}</div>" if r.random() < 0.5 else f"{main}{talk}"
+    return f"<html><head><title>{word()}</title><style>p{{}}</style></head><body>{head}{nav}{note}{form}{ad}{inner}{side}{foot}</body></html>"
+
+
+def plain(order: list[Node]) -> None:
+    """Makes section tags plain."""
+    for n in order:
+        if n.tag in GOOD_TAGS | BAD_TAGS and n.tag != "form":
+            n.tag = "div"
 
 
 def train(pages: list[str]) -> Trees:
     """pages: of the corpus; those that mark their main text are used beside the generated ones."""
-    xs, ys, ws = [], [], []
+    known = []
     texts = [generated(i) for i in range(TRAIN_PAGES)] + sorted(p for p in pages if p)
     for k, html in enumerate(texts):
         order = measure(parse(html))
         y = marked(order)
-        if not (y == 1).any():
-            continue
-        if k % 2:  # the same page with section tags made plain
-            for n in order:
-                if n.tag in GOOD_TAGS | BAD_TAGS and n.tag != "form":
-                    n.tag = "div"
+        if (y == 1).any():
+            if k % 2:
+                plain(order)
+            known.append((order, y))
+    odds = token_odds(known)
+    xs, ys, ws = [], [], []
+    for order, y in known:
         own = np.array([sum(len(c.strip()) for c in n.children if isinstance(c, str)) for n in order], float)
         use = (y >= 0) & np.array([n.tag not in NEVER for n in order])
-        x = features(order)[use]
-        xs.append(x)
+        xs.append(features(order, odds)[use])
         ys.append(y[use].astype(float))
         ws.append(0.3 + np.log1p(own[use]))
-    return Trees().fit(np.vstack(xs), np.concatenate(ys), np.concatenate(ws))
+    out = Trees().fit(np.vstack(xs), np.concatenate(ys), np.concatenate(ws))
+    out.tokens = odds
+    return out
 
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", trees: Trees | None = None) -> DataFrame:
     """The key, url, text and n_chars of each row."""
     if trees is None:
         some = pages.select(F.col(html).alias("h"), F.xxhash64(F.col(key)).alias("k")).where(F.length("h").between(1, SAMPLE_CHARS))
+        share = min(1_000_000, -(-4 * SAMPLE_PAGES * 1_000_000 // max(1, some.count())))
+        some = some.where(F.pmod("k", F.lit(1_000_000)) < share)  # so that a task sends its share alone
         trees = train([r["h"] for r in some.orderBy("k", "h").limit(SAMPLE_PAGES).select("h").collect()])
     kinds = [pages.schema[c].dataType.simpleString() for c in (key, url)]
 
