@@ -35,9 +35,10 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import sigmoid, text_slices
 
-SAMPLE_PAGES, TRAIN_PAGES, SAMPLE_CHARS = 150, 350, 200_000
+SAMPLE_PAGES, TRAIN_PAGES, SAMPLE_CHARS = 150, 600, 200_000
 TOKENS = 4096
-TREES, DEPTH, RATE, BINS = 30, 4, 0.3, 24
+SWAY = 1.0
+TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 24
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template select".split())
@@ -292,11 +293,11 @@ def decode(order: list[Node], odds: np.ndarray) -> list[bool]:
         i = n.order
         keep[i] = keep[n.parent.order] and n.tag not in NEVER
         if keep[i] and n.tag in BLOCK and n.tag not in ("html", "body"):
-            # the whole's odds count as much as its own: a short heading follows its section
+            # the whole's odds count as much as its own; what is around it sways it a little: a short heading follows its section
             up = n.parent.order
             whole = total[i] / mass[i] if mass[i] else odds[i]
-            around = total[up] / mass[up] if mass[up] else 0
-            keep[i] = max(whole + odds[i], whole + around if n.tag not in BAD_TAGS else whole + odds[i]) > 0
+            around = min(SWAY, total[up] / mass[up]) if mass[up] and n.tag not in BAD_TAGS else 0
+            keep[i] = whole + odds[i] + around > 0
     return keep
 
 
@@ -419,7 +420,7 @@ def generated(seed: int) -> str:
     form = f"<form data-truth='0'><label>{word()}</label><input name='q'><button>{word()}</button></form>" if r.random() < 0.4 else ""
     one = lambda: f"<div class='{r.choice(('comment', 'reply', 'message', 'item'))}'><b>{word()}</b><p>{para()}</p></div>"
     talk = part("section", "talk", "".join(one() for _ in range(r.randint(1, 4)))) if r.random() < 0.5 else ""
-    foot = part("footer", "foot", f"&copy; {word()} {say(6)} <a href='/x'>{word()}</a>")
+    foot = part("footer", "foot", r.choice((f"&copy; {word()} {say(6)} <a href='/x'>{word()}</a>", " | ".join(word() for _ in range(r.randint(2, 9))), f"<p>{say(9)}</p>")))
     odd = lambda: r.choice(
         (f"<p>{word()}: <math>{word()}={word()}</math> {word()}</p>", f"<p>{word()} <label>{word()}</label> <span hidden>{word()}</span> {word()}</p>", f"<svg><text>{word()} {word()}</text></svg>",
          f"<figure><img src='/i'><figcaption>{say(4)}</figcaption></figure>", f"<table><tr><th>{word()}</th><td>{word()}</td></tr></table>", f"<pre>{word()} {word()}</pre>")
@@ -433,7 +434,7 @@ def generated(seed: int) -> str:
         talk = ""
     tag = r.choice(("article", "article", "main"))
     attribute = f" class='{name('main')}'" if r.random() < 0.5 else ""
-    main = f"<{tag}{attribute} data-truth='1'>{''.join(pieces)}</{tag}>"
+    main = f"""<{tag}{attribute} data-truth='1'>{''.join(pieces)}""" + (f"</{tag}>" if r.random() < 0.85 else "")  # some pages forget to close it
     if r.random() < 0.12:  # a fragment
         return main if r.random() < 0.5 else f"{nav}{main}"
     inner = f"<div id='{name('main')}'>{note if r.random() < 0.5 else ''}{main}{talk}</div>" if r.random() < 0.5 else f"{main}{talk}"
