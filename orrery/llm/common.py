@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
+import re
 import uuid
 
 import numpy as np
@@ -19,12 +20,15 @@ BATCH_CHARS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and all runs on one machine, as
+    in tests, one of our own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         import tempfile
 
-        found = f"file://{tempfile.mkdtemp(prefix='orrery-')}"  # only in tests: no cluster leaves the setting empty
+        found = f"file://{tempfile.mkdtemp(prefix='orrery-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 

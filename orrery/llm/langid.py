@@ -1,7 +1,7 @@
 """Language identification with string kernels.
 
 The kernel of two texts is the blended spectrum's: the n-grams of 1 to N characters that both hold, each counted once,
-over the root of the product of their numbers. N-grams are of letters, lower-cased, with one break for anything else,
+over the root of the product of their numbers (of all n-grams of each text, known to a landmark or not). N-grams are of letters, lower-cased, with one break for anything else,
 and hashed to BITS bits. A bounded sample of labelled rows gives LANDMARKS rows (Nyström) and trains one ridge regression
 for each language against the rest. As the kernel is an inner product of presence vectors, the landmarks and the
 regression's weights fold into one matrix: a batch of texts is scored by one product of its presence matrix with it, over
@@ -71,24 +71,30 @@ class Model:
         self.languages, self.index, self.weights = languages, index, weights
 
     def presence(self, found: list, rows: int = 64):
-        """(positions, presence matrix) of runs of texts that have letters."""
+        """(positions, presence matrix, number of different n-grams) of runs of texts that have letters."""
         at = [i for i, g in enumerate(found) if g is not None]
+        seen = np.zeros(1 << BITS, bool)
         for k in range(0, len(at), rows):
             some = at[k : k + rows]
             p = np.zeros((len(some), len(self.weights)), np.float32)
-            for row, i in zip(p, some, strict=True):
+            sizes = np.ones(len(some))
+            for k, (row, i) in enumerate(zip(p, some, strict=True)):
                 for g in found[i]:
                     row[self.index[g]] = 1
+                    seen[g] = True
+                sizes[k] = np.count_nonzero(seen)
+                for g in found[i]:
+                    seen[g] = False
             p[:, 0] = 0
-            yield some, p
+            yield some, p, sizes
 
     def scores(self, texts: list) -> tuple[list[str], list[float]]:
         labels, sure = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return labels, sure
         found = [grams(t) if t else None for t in texts]
-        for some, p in self.presence(found):
-            s = (p @ self.weights).astype(float) / np.sqrt(np.maximum(p.sum(1), 1))[:, None]
+        for some, p, sizes in self.presence(found):
+            s = (p @ self.weights).astype(float) / np.sqrt(sizes)[:, None]
             e = np.exp(SHARP * (s - s.max(1, keepdims=True)))
             best = e.argmax(1)
             for i, b, v in zip(some, best, e[np.arange(len(best)), best] / e.sum(1), strict=True):
@@ -110,11 +116,10 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     used = np.unique(np.concatenate([g for i in chosen for g in found[i]]))
     index[used] = np.arange(1, len(used) + 1)
     model = Model(languages, index, np.zeros((len(used) + 1, 0), np.float32))
-    land = np.vstack([p for _, p in model.presence([found[i] for i in chosen])])
-    land /= np.sqrt(np.maximum(land.sum(1), 1))[:, None]
+    land = np.vstack([p / np.sqrt(sizes)[:, None].astype(np.float32) for _, p, sizes in model.presence([found[i] for i in chosen])])
     kernel = np.zeros((len(rows), len(chosen)))
-    for some, p in model.presence(found):
-        kernel[some] = (p @ land.T) / np.sqrt(np.maximum(p.sum(1), 1))[:, None]
+    for some, p, sizes in model.presence(found):
+        kernel[some] = (p @ land.T) / np.sqrt(sizes)[:, None]
     inner = land.astype(float) @ land.T.astype(float)
     y = np.array([[1.0 if lang == x else -1.0 for x in languages] for _, lang in rows])
     left = kernel.T @ kernel + ridge * len(rows) * inner + 1e-8 * np.eye(len(chosen))

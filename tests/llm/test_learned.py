@@ -1,7 +1,9 @@
+import math
 import re
 import zlib
 from html import unescape
 
+import numpy as np
 import pytest
 
 from orrery.llm import html, langid, minhash, quality, toxicity
@@ -32,8 +34,32 @@ def test_language_of_odd_texts(spark):
 def test_kernel_is_the_blended_spectrum():
     rows = [("abab", "x"), ("abba", "x"), ("cdcd", "y"), ("dccd", "y")]
     model = langid.fit(rows)
-    (_, p), *_ = model.presence([langid.grams("abab"), langid.grams("abba")])
-    assert p.sum(1).tolist() == [len({t[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1)}) for t in (" abab ", " abba ")]
+    own = lambda t: {t[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1)}
+    texts = ["abab", "abba", "xyz ab"]  # of the last, most n-grams are in no landmark: they count in its norm all the same
+    (_, p, sizes), *_ = model.presence([langid.grams(t) for t in texts])
+    assert sizes.tolist() == [len(own(f" {t} ")) for t in texts]
+    for i, a in enumerate(texts[:2]):
+        for j, b in enumerate(texts):
+            common = len(own(f" {a} ") & own(f" {b} "))
+            assert abs(p[i] @ p[j] / math.sqrt(sizes[i] * sizes[j]) - common / math.sqrt(len(own(f" {a} ")) * len(own(f" {b} ")))) < 1e-6
+
+
+def test_language_scores_equal_kernel_ridge(spark):
+    """The folded matrix against kernel ridge regression with all pairs of texts in the kernel, all rows landmarks."""
+    rows = [("the cat and the dog", "en"), ("the house of the man", "en"), ("der Hund und das Haus", "de"), ("die Katze und der Mann", "de"), ("el perro y la casa", "es"), ("la casa del hombre", "es")]
+    new = ["the dog of the house", "und die Frau", "y el hombre", "q", "Der " * 3000 + "x"]
+    own = lambda t: {x.tobytes() for n, g in enumerate(langid.grams(t)) for x in np.unique(g)} if t else set()
+    kernel = lambda a, b: len(own(a) & own(b)) / math.sqrt(len(own(a)) * len(own(b)))
+    rows = sorted(rows)
+    languages = sorted({lang for _, lang in rows})
+    k = np.array([[kernel(a, b) for b, _ in rows] for a, _ in rows])
+    y = np.array([[1.0 if lang == x else -1.0 for x in languages] for _, lang in rows])
+    alpha = np.linalg.solve(k.T @ k + langid.RIDGE * len(rows) * k + 1e-8 * np.eye(len(rows)), k.T @ y)
+    want = np.array([[kernel(t, b) for b, _ in rows] for t in new]) @ alpha
+    labels, _ = langid.fit(rows, landmarks=6).scores(new)
+    assert labels == [languages[i] for i in want.argmax(1)]
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert langid.predict(empty, langid.fit(rows)).count() == 0
 
 
 def test_toxicity_of_held_out_documents(spark):
