@@ -1,14 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insult, threat, target, negation, reported speech, or other. Small transducers read the symbols of
-a clause: one remembers a target nearby, one a negation that is still in force, one that speech is reported, and one
-says which symbol is an insult or a threat. Their composition is one table of states; each insult or threat that it
-reads gives a class (insult or threat, with or without a target, negated or not, reported or not) and a weight. The
-score is a logistic function of the summed weights of the classes in all clauses of the whole text, and of the share
-of the words that they are. Clauses end at punctuation and line ends.
+Words become symbols: insult, threat, target, negation, reported speech, intent, head, link, waste, or other. Five
+transducers read the symbols of a clause:
+
+* insult: an insult word alone, or in a phrase of several words: a head (piece, bunch, waste) and a link (of, a, the) before
+  an insult or a word that is one only there (waste of space, piece of garbage);
+* threat: a threat word alone (weak), or after a word of intent (will, going, want) with up to INTENT words between (strong);
+* target: whether a target is near;
+* negation: whether one is still in force;
+* reported speech: whether the clause reports it.
+
+Their composition is one table over product states: for each symbol it says the next state and what all five give: nothing,
+an insult or a threat, whether by a phrase, and the flags of the other three. So an event has one of CLASSES classes. The
+score is a logistic function of the summed weights of the classes in all clauses of the whole text, and of the share of
+the words that they are. Clauses end at punctuation and line ends.
 
 The weights of words are learned: whole words and stems (a word's first STEM characters) whose share of toxic documents
-in a bounded sample of labelled rows is clear. The sample holds SAMPLE rows of each label at most, none of them held out.
+in a bounded sample of labelled rows is clear. The sample holds SAMPLE rows of each label at most, none of them held out;
+the share of toxic rows among all labelled ones that aren't held out sets the bias.
 Seed lists give threats, targets, negations and verbs of reporting, and a few insults for corpora without labels.
 
 Defined cases: a null or empty text has no clause and the score of the bias alone; null labels and labels without a
@@ -36,45 +45,84 @@ STEM = range(4, 9)
 LEAST_DOCS, LEAST_SHARE, LEAST_LOG_ODDS = 4, 0.006, 2.0
 #: So many times does a document's word count when the lexicon is learned: one document that repeats a word proves little.
 MOST_TIMES = 3
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT_WORD, HEAD, LINK, WASTE = range(10)
+SYMBOLS = 10
 SEEDS = {
     INSULT: "idiot moron scum stupid trash loser pathetic worthless idiota imbécil estúpido idiote crétin abruti dumm trottel depp abschaum",
     THREAT: "kill hurt destroy beat crush töten vernichten schlagen tuer détruire frapper matar destruir golpear",
     TARGET: "you your u he she they him her them du dich dir ihr euch sie tu toi te vous votre eux tú ti usted vosotros ellos",
     NEGATION: "not no never isn't aren't don't nicht kein keine nie ne pas jamais nunca jamás",
     REPORT: "said says say called calls wrote quoted claims sagte sagt nannte schrieb dit dirent appelé écrit dijo dice llamó escribió",
+    INTENT_WORD: "will gonna going shall want wants ought should werde wird werden soll vais va vas allons voy vamos quiero",
+    HEAD: "piece bunch waste pack load stück haufen morceau bande tas pedazo montón",
+    LINK: "of a an the von de du des d'une d'un",
+    WASTE: "space garbage trash dirt air oxygen müll dreck platz ordure déchets basura mierda",
 }
-NEAR, IN_FORCE = 4, 3
-CLASSES = 16  # threat * 8 + target * 4 + negated * 2 + reported
+NEAR, IN_FORCE, INTENT = 4, 5, 3
+CLASSES = 32  # phrase * 16 + threat * 8 + target * 4 + negated * 2 + reported
+#: What transducers say of the symbol that they read.
+IS_INSULT, IS_THREAT, AIMED, NEGATED, REPORTED, PHRASE = (1 << i for i in range(6))
+
+
+def remember(symbol: int, steps: int, says: int):
+    """A transducer (states, step, output) whose state counts down from ``steps`` after the symbol; while it is above 0, its
+    output is ``says``."""
+    return steps + 1, lambda state, s: steps if s == symbol else max(0, state - 1), lambda state, s: says if s == symbol or state > 1 else 0
+
+
+def insults():
+    """States: 0 outside, 1 after a head, 2 after a head and links."""
+
+    def step(state: int, s: int) -> int:
+        return 1 if s == HEAD else 2 if s == LINK and state else 0
+
+    def output(state: int, s: int) -> int:
+        if s == INSULT:
+            return IS_INSULT | (PHRASE if state == 2 else 0)
+        return IS_INSULT | PHRASE if s == WASTE and state == 2 else 0
+
+    return 3, step, output
 
 
-def remember(symbol: int, steps: int):
-    """A transducer whose state counts down from ``steps`` after the symbol; its output says whether it is above 0."""
-    return steps + 1, lambda state, s: steps if s == symbol else max(0, state - 1)
+def threats():
+    """The state counts down from INTENT after a word of intent."""
+    return (
+        INTENT + 1,
+        lambda state, s: INTENT if s == INTENT_WORD else max(0, state - 1),
+        lambda state, s: IS_THREAT | (PHRASE if state else 0) if s == THREAT else 0,
+    )
 
 
 def compose(*parts):
-    """(next, out): tables over (product state, symbol). out: the states of all parts before the symbol, as bits above 0."""
-    sizes = [n for n, _ in parts]
+    """(next, out): tables over (product state, symbol) of transducers that read the same symbols; out: all that they say."""
+    sizes = [n for n, _, _ in parts]
     total = math.prod(sizes)
-    following, out = np.zeros((total, BREAK), np.int32), np.zeros((total, BREAK), np.int32)
+    following, out = np.zeros((total, SYMBOLS), np.int32), np.zeros((total, SYMBOLS), np.int32)
     for state in range(total):
         own, rest = [], state
         for n in sizes:
             own.append(rest % n)
             rest //= n
-        for s in range(BREAK):
-            new = [step(x, s) for x, (_, step) in zip(own, parts, strict=True)]
+        for s in range(SYMBOLS):
             k = 0
-            for n, x in zip(reversed(sizes), reversed(new), strict=True):
-                k = k * n + x
+            for n, x, (_, step, _) in zip(reversed(sizes), reversed(own), reversed(parts), strict=True):
+                k = k * n + step(x, s)
             following[state, s] = k
-            out[state, s] = sum((x > 0) << i for i, x in enumerate(new))
+            for x, (_, _, say) in zip(own, parts, strict=True):
+                out[state, s] |= say(x, s)
     return following, out
 
 
-#: Targets, negations in force, reported speech to the clause's end.
-NEXT, FLAGS = (x.tolist() for x in compose(remember(TARGET, NEAR), remember(NEGATION, IN_FORCE), (2, lambda state, s: int(state or s == REPORT))))
+PARTS = (
+    insults(),
+    threats(),
+    remember(TARGET, NEAR, AIMED),
+    remember(NEGATION, IN_FORCE, NEGATED),
+    (2, lambda state, s: int(state or s == REPORT), lambda state, s: REPORTED if state or s == REPORT else 0),
+)
+NEXT, SAID = (x.tolist() for x in compose(*PARTS))
+#: Symbols of which an event may come.
+EVENTS = bytes(2 * s + e for s in (INSULT, THREAT, WASTE) for e in (0, 1))
 ENDS = re.compile(r"[.!?;:,\n]$")
 STRIP = re.compile(r"^\W+|\W+$")
 
@@ -112,17 +160,17 @@ def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
         tokens = line.split()
         words += len(tokens)
         codes = bytes(map(lexicon.__getitem__, tokens))
-        if not any(x in codes for x in (INSULT * 2, INSULT * 2 + 1, THREAT * 2, THREAT * 2 + 1)):
+        if not any(x in codes for x in EVENTS):
             continue
         state, pending = 0, []
         for token, code in zip(tokens, codes, strict=True):
             symbol = code >> 1
-            flags = FLAGS[state][symbol]
+            said = SAID[state][symbol]
             state = NEXT[state][symbol]
-            if symbol in (INSULT, THREAT):
-                pending.append((symbol, flags, lexicon.weights.get(token, 2.0)))
+            if said & (IS_INSULT | IS_THREAT):
+                pending.append((said, lexicon.weights.get(token, 2.0)))
             elif symbol == TARGET:  # a target may follow what it is the target of
-                pending = [(s, f | 1, w) for s, f, w in pending]
+                pending = [(x | AIMED, w) for x, w in pending]
             if code & 1:
                 _settle(pending, out)
                 state, pending = 0, []
@@ -131,16 +179,17 @@ def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
 
 
 def _settle(pending: list, out: np.ndarray) -> None:
-    for symbol, flags, weight in pending:
-        out[(symbol == THREAT) * 8 + (flags & 1) * 4 + (flags >> 1 & 1) * 2 + (flags >> 2 & 1)] += weight
+    for said, weight in pending:
+        k = bool(said & PHRASE) * 16 + bool(said & IS_THREAT) * 8 + bool(said & AIMED) * 4 + bool(said & NEGATED) * 2 + bool(said & REPORTED)
+        out[k] += weight
 
 
 def prior() -> np.ndarray:
-    """Weights without data: a target doubles, a negation or a report takes most away, a bare threat is weak."""
+    """Weights without data: a target doubles, a negation or a report takes most away, a bare threat is weak, a phrase counts more."""
     w = np.zeros(CLASSES + 2)
     for k in range(CLASSES):
         base = (0.2 if not k & 4 else 0.8) if k & 8 else (0.5 if not k & 4 else 1.0)
-        w[k] = base * (0.2 if k & 2 else 1) * (0.3 if k & 1 else 1)
+        w[k] = base * (0.2 if k & 2 else 1) * (0.3 if k & 1 else 1) * (1.5 if k & 16 else 1)
     w[-2:] = 0.5, -2.0
     return w
 
@@ -157,8 +206,9 @@ class Model:
         return sigmoid(x @ self.weights[:-1] + self.weights[-1])
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """rows: (text, toxic)."""
+def fit(rows: list[tuple[str, int]], odds_of_all: float | None = None) -> Model:
+    """rows: (text, toxic), a sample that may hold one label more often than all labelled rows do: odds_of_all, theirs of
+    toxic to clean, then correct the bias."""
     n = [sum(y == k for _, y in rows) for k in (0, 1)]
     times, docs = [Counter(), Counter()], Counter()
     for text, y in rows:
@@ -184,7 +234,10 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     if min(n) == 0:
         return Model(words, stems, prior())
     x = np.array([features(t, lexicon) for t, _ in rows])
-    return Model(words, stems, logistic(x, np.array([y for _, y in rows], float), 0.5, prior()))
+    weights = logistic(x, np.array([y for _, y in rows], float), 0.5, prior())
+    if odds_of_all:
+        weights[-1] += math.log(odds_of_all) - math.log(n[1] / n[0])
+    return Model(words, stems, weights)
 
 
 def held_out(key: str):
@@ -194,9 +247,12 @@ def held_out(key: str):
 def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     rows = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"))
     rows = rows.where(F.col("y").isNotNull() & F.col("key").isNotNull()).groupBy("key").agg(F.max("y").alias("y"))
-    rows = sampled(rows.where(~held_out("key")), "y", "key", SAMPLE)  # bounded, so it may be broadcast
+    rows = rows.where(~held_out("key")).withColumn("y", (F.col("y") > 0).cast("int"))
+    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    rows = sampled(rows, "y", "key", SAMPLE)  # bounded, so it may be broadcast
     texts = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(rows), "key")
-    return fit(sorted((r["text"] or "", int(r["y"] > 0)) for r in texts.select("text", "y").limit(4 * SAMPLE).collect()))
+    got = sorted((r["text"] or "", r["y"]) for r in texts.select("text", "y").limit(4 * SAMPLE).collect())
+    return fit(got, n[1] / n[0] if len(n) == 2 else None)
 
 
 def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

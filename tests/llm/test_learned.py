@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from html import unescape
@@ -74,8 +75,35 @@ def test_grammar():
     lexicon = toxicity.Lexicon({}, {})
     value = lambda text: toxicity.features(text, lexicon)[:-1].nonzero()[0].tolist()
     assert value("what a moron") == [0] and value("you moron") == [4] and value("moron, you") == [0]
-    assert value("not a moron") == [2] and value("she said moron") == [5] and value("i will kill you") == [12]
+    assert value("not a moron") == [2] and value("she said moron") == [5] and value("i will kill you") == [28]
     assert value("all fine here") == [] and value(None) == []
+    # phrases of several words: the same words without the phrase are nothing, or a weaker class
+    assert value("what a waste of space") == [16] and value("lots of space") == [] and value("you piece of trash") == [20]
+    assert value("kill you") == [12] and value("they want to really hurt him") == [28] and value("it will be long until paint can hurt") == [8]
+    assert value("never a piece of garbage") == [18] and value("a piece of garbage, you") == [16]
+
+
+def test_composition_equals_its_parts():
+    """The product table against the five transducers, each run alone."""
+    r = random.Random(2)
+    for _ in range(300):
+        states, state = [0] * len(toxicity.PARTS), 0
+        for _ in range(12):
+            s = r.randrange(toxicity.SYMBOLS)
+            said = 0
+            for k, (_, step, say) in enumerate(toxicity.PARTS):
+                said |= say(states[k], s)
+                states[k] = step(states[k], s)
+            assert toxicity.SAID[state][s] == said
+            state = toxicity.NEXT[state][s]
+
+
+def test_toxicity_of_empty_tables_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "you idiot", 5), (2, "word " * 40_000 + "you moron", 6)], "doc_id long, text string, key long")
+    labels = spark.createDataFrame([(1, 1, "t", 3)], "doc_id long, toxic int, text string, y long")
+    model = toxicity.train(docs, labels)
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    assert {r.doc_id for r in toxicity.score(docs, model).collect()} == {1, 2} and toxicity.train(docs.limit(0), labels).words == {}
 
 
 def test_toxicity_without_labels(spark):
