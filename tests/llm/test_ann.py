@@ -71,3 +71,30 @@ def test_repeated_ids_among_copies(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
     got = [r.vec_id for r in ann.search(df, F.col("id") == 0).orderBy("rank").collect()]
     assert got == list(range(1, 21))
+
+
+def test_recall_over_many_tasks_and_passes(spark, monkeypatch):
+    """Where product codes decide what is scored exactly: with clusters few lists are probed, without any most are."""
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 40)
+    r = np.random.default_rng(9)
+    for clustered in (True, False):
+        centres = r.normal(size=(60, 32)) * (4 if clustered else 0)
+        x = (centres[r.integers(0, 60, 12_000)] + r.normal(size=(12_000, 32))).astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+        got = {}
+        for row in ann.search(df, F.col("id") % 100 == 0, rerank=300).orderBy("query_id", "rank").collect():
+            got.setdefault(row.query_id, []).append(row.vec_id)
+        y, hits = x.astype(np.float64), 0
+        for q in range(0, 12_000, 100):
+            s = y @ y[q]
+            s[q] = -np.inf
+            hits += len(set(np.argsort(-s)[:20].tolist()) & set(got[q]))
+        assert hits >= 0.9 * 20 * 120
+        index, probes = ann.build(df.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")), 20)
+        assert (probes <= 0.5 * len(index.coarse)) == clustered
+
+
+def test_queries_of_repeated_ids(spark):
+    rows = [(0, [2.0, 0.0]), (0, [1.0, 5.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in ann.search(df, F.col("id") == 0).orderBy("rank").collect()] == [(0, 1, 2, 5.0), (0, 2, 1, 1.0)]
