@@ -1,13 +1,16 @@
 """Quality classifier by co-training.
 
 Two views of a document: its text (hashed words and the shape of words, lines and characters) and its metadata (source,
-language, declared length, and how the two go together). Each has a logistic classifier. Both start from a bounded
-sample of labelled rows; in each round each labels the documents of a bounded unlabelled pool of which it is most
-confident, in the labelled classes' proportion, and the other trains on them too (ROUNDS times). Then both are calibrated
-on labelled rows kept back, and a logistic combination of their calibrated odds scores every document over its whole text.
+language, declared length). Each has a logistic classifier. One pass over whole texts writes both views of every document,
+in half precision, to a table. Both classifiers start from a bounded sample of labelled rows. In each round each labels
+the documents of the whole corpus of which it is most confident, SHARE more of them in each round and in the labelled
+classes' proportion: a histogram of its odds over all documents says where that share begins. The other then trains on
+these documents too, by steps of which each sums the gradient over all of them; together they weigh SHARE of the labelled
+rows for each round. Then both are calibrated on labelled rows kept back, and a logistic combination of their calibrated
+odds scores every document.
 
-Bounds that a parameter states: LABELLED rows of each label and POOL unlabelled rows, with texts of at most SAMPLE_CHARS
-characters; no other text is bounded.
+Bounds that a parameter states: LABELLED rows of each label. Nothing else is bounded: what a round counts, labels and
+trains on are all documents, and what reaches the driver are histograms and gradients of fixed size from each task.
 
 Defined cases: a null text counts as empty, null metadata as a value of its own; a null label teaches nothing; without
 labels of both kinds the score is 0.5 and every document is kept; repeated rows repeat their result; extra columns are
@@ -23,10 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import MEMO_WORDS, logistic, sampled, sigmoid
+from orrery.llm.common import MEMO_WORDS, logistic, sampled, sigmoid, written
 
-LABELLED, POOL, SAMPLE_CHARS = 1200, 1500, 30_000
-ROUNDS, SHARE = 3, 0.1
+LABELLED = 1200
+ROUNDS, SHARE, STEPS = 3, 0.1, 2
+#: Of the histograms: bins of odds from -EDGE to EDGE.
+BINS, EDGE = 1200, 30.0
+#: A pseudo-label needs a probability this far from an even one.
+SURE = float(np.log(9.0))
 BUCKETS = 256
 SHAPE = 12
 
@@ -88,78 +95,155 @@ def calibrated(views, calibration, xs) -> np.ndarray:
     return np.stack([a * odds(w, x) + b for w, (a, b), x in zip(views, calibration, xs, strict=True)], 1)
 
 
-def co_train(xs: tuple, y: np.ndarray, pool: tuple, rounds: int = ROUNDS, share: float = SHARE) -> Model:
-    """xs, pool: the two views of labelled and unlabelled rows."""
+def features(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """key, t, m: both views of every document, written."""
+    kind = documents.schema[key].dataType.simpleString()
+
+    def run(batches):
+        words = Words()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                t = [text_view(x, words).astype(np.float16).tobytes() for x in part.column(1).to_pylist()]
+                m = [metadata_view(*r).astype(np.float16).tobytes() for r in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(t, pa.binary()), pa.array(m, pa.binary())], names=["key", "t", "m"])
+
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), "source", "lang", F.col("n_chars").cast("long"))
+    return written(rows.mapInArrow(run, f"key {kind}, t binary, m binary"), "views")
+
+
+def unpacked(column) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float64) if rows else np.zeros((0, 0))
+
+
+def summed(rows: DataFrame, size: int, work) -> np.ndarray:
+    """The sum over all batches of the arrays of ``size`` numbers that ``work`` makes of (text view, metadata view)."""
+
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
+                total += work((unpacked(part.column(0)), unpacked(part.column(1))))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    parts = rows.select("t", "m").mapInArrow(run, "v array<double>")
+    each = parts.select(F.posexplode("v").alias("k", "v")).where("v <> 0").groupBy("k").agg(F.sum("v").alias("v"))
+    out = np.zeros(size)
+    for r in each.collect():  # ``size`` rows at most
+        out[r["k"]] = r["v"]
+    return out
+
+
+def histogram(views: list[np.ndarray]):
+    def work(xs):
+        return np.concatenate([np.histogram(np.clip(odds(w, x), -EDGE, EDGE - 1e-9), BINS, (-EDGE, EDGE))[0] for w, x in zip(views, xs, strict=True)]).astype(float)
+
+    return work
+
+
+def limits(counts: np.ndarray, share: float, positive: float) -> tuple[float, float]:
+    """(low, high): odds up to which, and from which on, a document is confidently 0 or 1: ``share`` of all documents,
+    split by the share of positives, as whole bins; at least SURE from even odds."""
+    edges = np.linspace(-EDGE, EDGE, BINS + 1)
+    n = counts.sum()
+    low = edges[np.searchsorted(np.cumsum(counts), share * n * (1 - positive), "right")]
+    high = edges[BINS - np.searchsorted(np.cumsum(counts[::-1]), share * n * positive, "right")]
+    return min(low, -SURE), max(high, SURE)
+
+
+def gradients(views: list[np.ndarray], cuts: list[tuple[float, float]]):
+    """Of each view: the number of documents that the other is sure of, and the gradient of the loss over them."""
+
+    def work(xs):
+        z = [odds(w, x) for w, x in zip(views, xs, strict=True)]
+        out = []
+        for v, x in enumerate(xs):
+            low, high = cuts[1 - v]
+            sure, y = (z[1 - v] <= low) | (z[1 - v] >= high), z[1 - v] >= high
+            d = (sigmoid(z[v]) - y) * sure
+            out += [[sure.sum()], d @ x, [d.sum()]]
+        return np.concatenate(out)
+
+    return work
+
+
+def co_train(xs: tuple, y: np.ndarray, corpus: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> Model:
+    """xs: the two views of labelled rows; corpus: t, m of all documents."""
     if len(set(y.tolist())) < 2:
         return Model(None)
     back = np.arange(len(y)) % 4 == 0  # kept back for calibration
-    train = [(x[~back], y[~back]) for x in xs]
-    free = np.ones(len(pool[0]), bool)
-    views = [logistic(x, t, 2.0) for x, t in train]
-    for _ in range(rounds):
-        given = []
-        for v in (0, 1):
-            z = odds(views[v], pool[v])
-            for label in (0, 1):
-                most = int(share * len(free) * np.mean(y == label))
-                order = np.argsort(-z if label else z, kind="stable")
-                sure = sigmoid(z) > 0.9 if label else sigmoid(z) < 0.1
-                chosen = [i for i in order if free[i] and sure[i]][:most]
-                free[chosen] = False
-                given.append((1 - v, chosen, label))
-        for v, chosen, label in given:  # to the other view
-            if len(chosen):
-                x, t = train[v]
-                train[v] = np.vstack([x, pool[v][chosen]]), np.append(t, np.full(len(chosen), float(label)))
-        views = [logistic(x, t, 2.0) for x, t in train]
-    held = [x[back] for x in xs]
-    calibration = [logistic(odds(w, x)[:, None], y[back], 0.1, np.array([1.0, 0.0])) for w, x in zip(views, held, strict=True)]
+    if len(set(y[~back].tolist())) < 2:
+        back[:] = False
+    own = [np.hstack([x[~back], np.ones(((~back).sum(), 1))]) for x in xs]
+    label = y[~back]
+    pull = [np.append(np.full(x.shape[1] - 1, 2.0), 1e-3) for x in own]
+    views = [logistic(x[~back], label, 2.0) for x in xs]
+    for r in range(1, rounds + 1):
+        counts = summed(corpus, 2 * BINS, histogram(views)).reshape(2, BINS)
+        if not counts.sum():
+            break
+        cuts = [limits(c, min(1.0, r * share), float(label.mean())) for c in counts]
+        mass = r * share * len(label)
+        for _ in range(STEPS):
+            got = summed(corpus, sum(len(w) + 1 for w in views), gradients(views, cuts))
+            new, at = [], 0
+            for x, w, p in zip(own, views, pull, strict=True):
+                n, g = got[at], got[at + 1 : at + 1 + len(w)]
+                at += 1 + len(w)
+                q = sigmoid(x @ w)
+                # the labelled rows' curvature stands for all rows'; both gradients are exact
+                curve = (x * (q * (1 - q))[:, None]).T @ x * (1 + mass / len(label)) + np.diag(p)
+                slope = x.T @ (q - label) + p * w + (g * (mass / n) if n else 0)
+                step = np.linalg.solve(curve, slope)
+                new.append(w - step * min(1.0, 2.0 / (np.abs(step).max() + 1e-12)))
+            views = new
+    held = [x[back] if back.any() else x for x in xs]
+    y = y[back] if back.any() else y
+    calibration = [logistic(odds(w, x)[:, None], y, 0.1, np.array([1.0, 0.0])) for w, x in zip(views, held, strict=True)]
     z = calibrated(views, calibration, held)
-    return Model(views, calibration, logistic(z, y[back], 0.1, np.array([1.0, 0.2, 0.0])))
+    return Model(views, calibration, logistic(z, y, 0.1, np.array([1.0, 0.2, 0.0])))
 
 
-def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+def train(corpus: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> Model:
+    """corpus: of :func:`features`."""
     rows = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"))
     rows = rows.where(F.col("y").isNotNull() & F.col("key").isNotNull()).groupBy("key").agg(F.min("y").alias("y"))
-    rows = sampled(rows, "y", "key", LABELLED)
-    docs = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), "source", "lang", "n_chars")
-    docs = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
-    labelled = docs.join(F.broadcast(rows), "key").orderBy("key").limit(4 * LABELLED)  # bounded samples
-    share = min(1_000_000, POOL * 1_000_000 // max(1, docs.count()) + 1)
-    pool = docs.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1_000_000)) < share).limit(2 * POOL).orderBy("key")
-    words, views, ys = Words(), [], []
-    for some in (labelled, pool):
-        got = some.collect()
-        views.append(tuple(np.array(v).reshape(len(got), -1) for v in ([text_view(r["text"], words) for r in got], [metadata_view(r["source"], r["lang"], r["n_chars"]) for r in got])))
-        ys.append(np.array([float(r["y"] > 0) for r in got]) if "y" in some.columns else None)
-    return co_train(views[0], ys[0], views[1])
-
-
-def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The key, score, text_score, metadata_score and kept (score of 0.5 or more) of each row."""
-    kind = documents.schema[key].dataType.simpleString()
+    rows = sampled(rows.withColumn("y", (F.col("y") > 0).cast("int")), "y", "key", LABELLED)
+    got = corpus.join(F.broadcast(rows), "key").limit(8 * LABELLED).toArrow()  # a bounded sample
+    got = got.sort_by([("key", "ascending"), ("t", "ascending"), ("m", "ascending")])
+    xs = tuple(unpacked(got.column(k)) for k in ("t", "m"))
+    return co_train(xs, np.asarray(got.column("y"), float), corpus)
+
+
+def score(corpus: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
+    """The key, score, text_score, metadata_score and kept (score of 0.5 or more) of each row of :func:`features`."""
+    kind = corpus.schema["key"].dataType.simpleString()
 
     def run(batches):
-        words = Words()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = np.array([text_view(t, words) for t in batch.column(1).to_pylist()])
-            rest = [metadata_view(*r) for r in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
-            s = model.scores(texts, np.array(rest))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(s[:, k]) for k in range(3)), pa.array(s[:, 0] >= 0.5)],
-                names=["key", "score", "text_score", "metadata_score", "kept"],
-            )
-
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), "source", "lang", F.col("n_chars").cast("long"))
-    out = rows.mapInArrow(run, f"key {kind}, score double, text_score double, metadata_score double, kept boolean")
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
+                s = model.scores(unpacked(part.column(1)), unpacked(part.column(2)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *(pa.array(s[:, k]) for k in range(3)), pa.array(s[:, 0] >= 0.5)],
+                    names=["key", "score", "text_score", "metadata_score", "kept"],
+                )
+
+    out = corpus.mapInArrow(run, f"key {kind}, score double, text_score double, metadata_score double, kept boolean")
     return out.withColumnRenamed("key", key)
 
 
+def quality(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The scores of ``documents`` by a model of ``labels`` and of all documents."""
+    corpus = features(documents, key, text)
+    return score(corpus, train(corpus, labels, key, label), key)
+
+
 def op1_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 QUERIES = {"op1_quality": op1_quality}

@@ -6,6 +6,7 @@ from html import unescape
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.llm import html, langid, minhash, quality, toxicity
 
@@ -113,17 +114,45 @@ def test_toxicity_without_labels(spark):
     assert got == [(1, True), (2, False), (2, False)]
 
 
-def test_quality(spark):
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    rows = [r for r in quality.op1_quality(spark, SF).collect() if r.doc_id in labels]
-    assert sum(r.kept == bool(labels[r.doc_id]) for r in rows) >= 0.95 * len(rows)
+def test_quality_of_held_out_documents(spark):
+    """A fifth of the labels is kept from training; the rest of the corpus is unlabelled."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    held = {d for d in truth if zlib.crc32(str(d).encode()) % 5 == 0}
+    got = quality.quality(docs, labels.where(~F.col("doc_id").isin(list(held)))).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+    rows = [r for r in got if r.doc_id in held]
+    assert len(rows) > 50 and sum(r.kept == bool(truth[r.doc_id]) for r in rows) >= 0.95 * len(rows)
+
+
+def test_quality_sums_over_all_documents(spark):
+    """Histograms and gradients against the same over all rows at once."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["Good", "text.", "XX", "yy!!", "zz"], rng.integers(0, 30))), f"s{i % 3}", "en", int(rng.integers(0, 900))) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(4)
+    corpus = quality.features(df, "doc_id", "text")
+    words = quality.Words()
+    t = np.array([quality.text_view(r[1], words) for r in rows]).astype(np.float16).astype(float)
+    m = np.array([quality.metadata_view(*r[2:]) for r in rows]).astype(np.float16).astype(float)
+    views = [rng.normal(size=x.shape[1] + 1) for x in (t, m)]
+    counts = quality.summed(corpus, 2 * quality.BINS, quality.histogram(views))
+    assert counts.sum() == 180 and (counts == quality.histogram(views)((t, m))).all()
+    cuts = [quality.limits(c, 0.4, 0.5) for c in counts.reshape(2, -1)]
+    assert all(lo <= -quality.SURE and hi >= quality.SURE for lo, hi in cuts)
+    cuts = [(-0.5, 0.5)] * 2
+    assert np.allclose(quality.summed(corpus, sum(len(w) + 1 for w in views), quality.gradients(views, cuts)), quality.gradients(views, cuts)((t, m)))
 
 
 def test_quality_of_odd_tables(spark):
-    docs = spark.createDataFrame([(1, None, None, None, None, 1), (2, "a b", "s", "en", 3, 1), (None, "", "s", "en", 3, 1)], "doc_id long, text string, source string, lang string, n_chars long, score int")
-    model = quality.train(docs, spark.createDataFrame([(2, None), (1, 1)], "doc_id long, quality int"))
-    assert [(r.doc_id, r.score, r.kept) for r in quality.score(docs, model).collect()] == [(1, 0.5, True), (2, 0.5, True), (None, 0.5, True)]
-    assert quality.score(docs.limit(0), model).count() == 0
+    rows = [(1, None, None, None, None, 1), (2, "a b", "s", "en", 3, 1), (2, "a b", "s", "en", 3, 1), (3, "word " * 60_000, "s", "en", 3, 1), (None, "", "s", "en", 3, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, score int")
+    labels = spark.createDataFrame([(2, None, "x"), (1, 1, "x")], "doc_id long, quality int, t string")
+    got = [(r.doc_id, r.score, r.kept) for r in quality.quality(docs, labels).collect()]
+    assert sorted(got, key=str) == sorted([(d, 0.5, True) for d, *_ in rows], key=str)
+    assert quality.quality(docs.limit(0), labels).count() == 0
+    both = spark.createDataFrame([(3, 0, "x"), (1, 1, "x")], "doc_id long, quality int, t string")
+    assert quality.quality(docs, both).count() == 5
 
 
 def article(page):
