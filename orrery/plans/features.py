@@ -200,7 +200,7 @@ CATALOG = {
         "SELECT p_partkey, upper(trim(p_type)) AS kind FROM part",
     ),
     "signature_counts": (
-        lambda s, sf: table(s, sf, "part").select("p_partkey", T.argument_count(_signature()).alias("n")),
-        "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_size % 5 + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END AS INTEGER) END AS n FROM part",
+        lambda s, sf: table(s, sf, "part").select("p_partkey", F.coalesce(T.argument_count(_signature()), F.lit(-1)).alias("n")),
+        "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN -1 ELSE CAST(p_size % 5 + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END AS INTEGER) END AS n FROM part",
     ),
 }
