@@ -333,8 +333,10 @@ def frequent(documents: DataFrame, text: str, ranks: dict[bytes, int]) -> DataFr
     table = literal(json.dumps(buckets), "array<map<string,int>>")
     ids = F.transform(F.array(table), lambda t: fold(F.col("word"), t))[0]  # binds the literal: it is in the plan once
     few = words.where((F.col("n") >= least) & (F.lit(total) > 0)).select("word")
-    few = few.repartition(max(1, total // 4096)).select("word", ids.alias("ids"))
-    return written(few, "head")  # one job; read back part by part, each part would be a job that ships the literal
+    few = written(few.repartition(max(1, total // 4096)), "few")
+    # one job without an exchange: adaptive execution would describe the plan again after each, and the driver keeps every
+    # description, with the whole literal in it; read back part by part, each part would be a job that ships the literal
+    return written(few.select("word", ids.alias("ids")), "head")
 
 
 def coded(ranks: dict[bytes, int], head: dict[str, bytes], split: str, what: str):

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import hashlib
 import re
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +104,33 @@ def text_slices(texts: list, most: int = BATCH_CHARS):
         yield start, len(texts)
 
 
+def text_parts(batch: pa.RecordBatch, k: int, most: int | None = None):
+    """``batch`` in slices with at most ``most`` (BATCH_CHARS) bytes in its column ``k`` of texts, or of one row."""
+    most = BATCH_CHARS if most is None else most
+    start = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_pylist()):
+        if i > start and size + n > most:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def given_back(run):
+    """``run`` (batches to batches); what it has freed goes back to the system at its end, as its worker stays for other tasks."""
+
+    def mapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return mapped
+
+
 def sampled(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
     """About ``most`` rows at most of each value of ``by``, by a hash of ``key``: the same rows wherever it runs."""
     counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}

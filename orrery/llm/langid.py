@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import sampled, text_slices
+from orrery.llm.common import given_back, sampled, text_parts, text_slices
 
 N, BITS = 4, 18
 SAMPLE, SAMPLE_CHARS, LANDMARKS = 1200, 20_000, 192
@@ -166,14 +166,11 @@ def known(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     batchable = documents.select(*names)
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(names.index(text)).to_pylist()
-            keep = []
-            for a, b in text_slices(texts):
-                keep += [x != UNKNOWN for x in model.scores(texts[a:b])[0]]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for batch in (part for batch in batches for part in text_parts(batch, names.index(text))):
+            labels = model.scores(batch.column(names.index(text)).to_pylist())[0]
+            yield batch.filter(pa.array([x != UNKNOWN for x in labels], pa.bool_()))
 
-    return batchable.mapInArrow(run, documents.schema)
+    return batchable.mapInArrow(given_back(run), documents.schema)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import WordHashes, dropped, mix, small, written
+from orrery.llm.common import WordHashes, dropped, given_back, mix, small, text_parts, written
 
 MINIMA = 120
 
@@ -51,6 +51,8 @@ OP6 = Rule(3, 85, 5, 0.65)
 FIVE_WORDS = Rule(5, 80, 4, 0.58)
 #: Rows and shingles of a part: bounds on a task's memory, not on results.
 PART_ROWS, PART_SHINGLES = 1024, 500_000
+#: Classes whose bucket keys a task makes, counts and sorts: the same kind of bound.
+KEY_ROWS = 8192
 #: Ids that are broadcast at most (8 bytes each); beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Ratio of neighbouring size classes.
@@ -94,7 +96,7 @@ def signatures(rule: Rule):
 
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (part for batch in batches for part in text_parts(batch, 1)):
             ns, sums, keys = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, hashes, rule.size)
@@ -105,15 +107,15 @@ def signatures(rule: Rule):
             cols = [pa.array(ns, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc", "n", "s1", "s2", "bands"])
 
-    return run
+    return given_back(run)
 
 
 def sets(rule: Rule):
-    """doc, s (a hash of the set), minima and shingles; rows that repeat in a batch once."""
+    """doc, s (a hash of the set), minima and shingles; rows that repeat in a part of a batch once."""
 
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (part for batch in batches for part in text_parts(batch, 1)):
             found = {}
             for doc, text in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
                 s = shingles(text, hashes, rule.size)
@@ -127,7 +129,7 @@ def sets(rule: Rule):
             ]
             yield pa.RecordBatch.from_arrays(cols, names=["doc", "s", "minima", "shingles"])
 
-    return run
+    return given_back(run)
 
 
 def runs(batches, keys: int):
@@ -187,7 +189,7 @@ def with_centre(rule: Rule):
             centre = np.full(len(links), column(t, 0)[0].as_py(), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(links), pa.array(centre)], names=["x", "y"])
 
-    return run
+    return given_back(run)
 
 
 def forest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
@@ -236,14 +238,19 @@ def across(rule: Rule):
                 out = np.array(forest(pairs[:, 0], pairs[:, 1]), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["x", "y"])
 
-    return run
+    return given_back(run)
+
+
+def marked(edges: DataFrame):
+    """The number of edges and a sum of their hashes."""
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(20,0)"))).first()
 
 
 def stars(edges: DataFrame) -> DataFrame:
     """node, root: each node's smallest reachable node. edges: x, y. Alternates large-star and small-star."""
     edges = written(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct(), "edges")
-    before = None
-    while not edges.isEmpty():
+    before, seen = None, marked(edges)
+    while seen[0] and seen != before:
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
@@ -253,15 +260,13 @@ def stars(edges: DataFrame) -> DataFrame:
         new = written(new.unionByName(near.select("x", F.col("m").alias("y"))).distinct(), "edges")
         dropped(edges)
         edges = new
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(20,0)"))).first()
-        if seen == before:
-            return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
-        before = seen
+        before, seen = seen, marked(edges)
     return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
 def memberships(classes: DataFrame) -> DataFrame:
     """centre, rep: each centre with the other members of its buckets. classes: rep, bands."""
+    classes = classes.repartition(max(1, -(-classes.count() // KEY_ROWS)), "rep")
     keys = classes.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("a"), F.max("rep").alias("b"))
     shared = written(shared.where("a <> b").select("key", "size"), "shared")
