@@ -111,9 +111,14 @@ def parsed(files: DataFrame) -> DataFrame:
         from orrery.sources.parsers import parse
 
         for batch in batches:
-            rows = []
-            for rel, lang, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            rows, size = [], 0
+            for i in range(batch.num_rows):
+                rel, lang, content = (batch.column(k)[i].as_py() for k in range(3))
                 rows.append({"path": rel, "language": lang} | parse(rel, lang, content or b""))
+                size += len(content or b"")
+                if size > MOST_BYTES:  # what is parsed takes many times its source's memory
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows, size = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
