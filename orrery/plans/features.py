@@ -24,9 +24,10 @@ SHAPES = [
 
 
 def sources(s, sf):
-    """rel, language, content: a source file for each MODULES-th part, with a function for each part, which calls the next."""
-    one = table(s, sf, "part").where(F.col("p_partkey").isNotNull()).groupBy((F.col("p_partkey") % MODULES).alias("k"))
-    one = one.agg(F.array_sort(F.collect_list("p_partkey")).alias("ps")).withColumn("n", (F.col("k") + 4) % MODULES)
+    """rel, language, content: a source file for each MODULES-th part, with a function for each part, which calls the next. The
+    count of partitions is fixed: keys are small and what is parsed from them isn't, so that they would be put into one task."""
+    one = table(s, sf, "part").where(F.col("p_partkey").isNotNull()).select("p_partkey", (F.col("p_partkey") % MODULES).alias("k"))
+    one = one.repartition(MODULES, "k").groupBy("k").agg(F.array_sort(F.collect_list("p_partkey")).alias("ps")).withColumn("n", (F.col("k") + 4) % MODULES)
 
     def fill(shape: str, **what):
         out = F.lit(shape)

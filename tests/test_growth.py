@@ -3,8 +3,12 @@
 import random
 import time
 
+from orrery.plans import features
 from orrery.sources.parsers import Scopes
 
+SF = "/root/testdata/sf0.001"
+
+
 def test_scopes_find_the_innermost_without_a_pass_over_all():
     rng = random.Random(3)
     for _ in range(200):
@@ -19,3 +23,7 @@ def test_scopes_find_the_innermost_without_a_pass_over_all():
     s, began = Scopes(), time.process_time()
     s.owners = [(10 * k, 10 * k + 9, k + 1) for k in range(30000)]
     assert [s.owner(10 * k + 5) for k in range(30000)] == list(range(1, 30001)) and time.process_time() - began < 5
+
+
+def test_sources_are_dealt_over_tasks(spark):
+    assert features.sources(spark, SF).rdd.getNumPartitions() == features.MODULES
