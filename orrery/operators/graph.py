@@ -132,14 +132,13 @@ def module_hash(clustered: DataFrame) -> DataFrame:
 
 def pick_unique(sites: DataFrame, candidates: DataFrame) -> DataFrame:
     """site_id, dst. sites: site_id, name, argc; candidates: id, name, sig_argc. One candidate is taken unless both counts
-    are known and differ; of several, the only one with an equal count."""
-    met = sites.join(candidates, "name")
+    are known and differ; of several, the only one with an equal count. A site meets its name's counts, not its candidates."""
+    by_count = candidates.groupBy("name", F.col("sig_argc").alias("argc")).agg(F.count("*").alias("equal"), F.min("id").alias("match"))
+    by_name = by_count.groupBy("name").agg(F.sum("equal").alias("n"), F.sum(F.when(F.col("argc").isNotNull(), F.col("equal"))).alias("known"), F.min("match").alias("only"))
+    met = sites.select("site_id", "name", "argc").join(by_name, "name").join(by_count, ["name", "argc"], "left")
+    unequal = F.when(F.col("argc").isNotNull(), F.coalesce("known", F.lit(0)) - F.coalesce("equal", F.lit(0)))
     per = met.groupBy("site_id").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("argc") == F.col("sig_argc")).alias("equal"),
-        F.min("id").alias("only"),
-        F.min(F.when(F.col("argc") == F.col("sig_argc"), F.col("id"))).alias("match"),
-        F.count_if(F.col("argc") != F.col("sig_argc")).alias("unequal"),
+        F.sum("n").alias("n"), F.coalesce(F.sum("equal"), F.lit(0)).alias("equal"), F.min("only").alias("only"), F.min("match").alias("match"), F.coalesce(F.sum(unequal), F.lit(0)).alias("unequal")
     )
     dst = F.when((F.col("n") == 1) & (F.col("unequal") == 0), F.col("only")).when((F.col("n") > 1) & (F.col("equal") == 1), F.col("match"))
     return per.select("site_id", dst.alias("dst")).where(F.col("dst").isNotNull())

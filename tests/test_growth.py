@@ -3,6 +3,9 @@
 import random
 import time
 
+from pyspark.sql import functions as F
+
+from orrery.operators import graph
 from orrery.plans import features
 from orrery.sources.parsers import Scopes
 
@@ -27,3 +30,16 @@ def test_scopes_find_the_innermost_without_a_pass_over_all():
 
 def test_sources_are_dealt_over_tasks(spark):
     assert features.sources(spark, SF).rdd.getNumPartitions() == features.MODULES
+
+
+def test_pick_unique_joins_counts_and_not_candidates(spark):
+    # every site's name has all the candidates: 20,000 x 20,000 pairs, of which none may be listed
+    sites = spark.range(20000).select(F.col("id").alias("site_id"), F.lit("f").alias("name"), F.col("id").cast("int").alias("argc"))
+    many = spark.range(20000).select("id", F.lit("f").alias("name"), F.col("id").cast("int").alias("sig_argc"))
+    began = time.monotonic()
+    got = graph.pick_unique(sites, many).agg(F.count("*"), F.count_if(F.col("site_id") == F.col("dst"))).first()
+    assert tuple(got) == (20000, 20000) and time.monotonic() - began < 30
+    # a site of two rows, unknown counts on either side
+    sites = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (2, "a", None), (3, "b", 7), (4, "b", None), (5, "c", 1), (6, None, 1), (7, "d", 4)], "site_id long, name string, argc int")
+    found = spark.createDataFrame([(10, "a", 1), (11, "a", None), (12, "b", None), (13, "c", 2), (14, None, 1), (15, "d", 4), (16, "d", None)], "id long, name string, sig_argc int")
+    assert sorted(map(tuple, graph.pick_unique(sites, found).collect())) == [(1, 10), (3, 12), (4, 12), (7, 15)]
