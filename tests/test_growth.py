@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from orrery.operators import graph
+from orrery.operators import graph, retrieval
 from orrery.plans import features
 from orrery.sources.parsers import Scopes
 
@@ -43,3 +43,15 @@ def test_pick_unique_joins_counts_and_not_candidates(spark):
     sites = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (2, "a", None), (3, "b", 7), (4, "b", None), (5, "c", 1), (6, None, 1), (7, "d", 4)], "site_id long, name string, argc int")
     found = spark.createDataFrame([(10, "a", 1), (11, "a", None), (12, "b", None), (13, "c", 2), (14, None, 1), (15, "d", 4), (16, "d", None)], "id long, name string, sig_argc int")
     assert sorted(map(tuple, graph.pick_unique(sites, found).collect())) == [(1, 10), (3, 12), (4, 12), (7, 15)]
+
+
+def test_bm25_reads_the_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    chunks = spark.createDataFrame([(1, "que thing"), (2, "Qué étude que"), (3, "none")], "chunk_id long, content string").mapInArrow(counted, "chunk_id long, content string")
+    assert {r.chunk_id for r in retrieval.bm25(chunks, ["que", "thing"], None).collect()} == {1, 2} and seen.value == 3
