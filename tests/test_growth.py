@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from orrery.operators import graph, retrieval
+from orrery.operators import graph, postings, retrieval
 from orrery.plans import features
 from orrery.sources.parsers import Scopes
 
@@ -55,3 +55,13 @@ def test_bm25_reads_the_text_once(spark):
 
     chunks = spark.createDataFrame([(1, "que thing"), (2, "Qué étude que"), (3, "none")], "chunk_id long, content string").mapInArrow(counted, "chunk_id long, content string")
     assert {r.chunk_id for r in retrieval.bm25(chunks, ["que", "thing"], None).collect()} == {1, 2} and seen.value == 3
+
+
+def test_postings_are_counted_where_the_text_is(spark, tmp_path):
+    rows = [(1, "a b a"), (2, "b Ä"), (2, "c b"), (3, " ,"), (4, None), (5, ""), (5, "x")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string")
+    assert sorted(map(tuple, retrieval.posting_counts(chunks).collect())) == [(1, 2, 3), (2, 3, 4), (5, 1, 1)]
+    postings.write(chunks, str(tmp_path))
+    posts, _ = postings.read(spark, str(tmp_path))
+    want = sorted((r.term, r.chunk_id, r.tf) for r in retrieval.postings(chunks).collect())
+    assert sorted((r.term, r.chunk_id, r.tf) for r in posts.collect()) == want and ("a", 1, 2) in want
