@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.functions.text import document_terms
 from orrery.operators import retrieval as R
 
 PARTS = 64
@@ -23,8 +24,11 @@ def build(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def write(chunks: DataFrame, path: str) -> None:
-    posts, lengths = build(chunks)
-    posts.repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    """The words are shuffled once, each to its part's task, and counted, sorted and written there."""
+    words = chunks.select("chunk_id", F.explode(document_terms(F.col("content"))).alias("term")).withColumn("part", part(F.col("term")))
+    posts = words.repartitionById(PARTS, F.col("part")).groupBy("part", "term", "chunk_id").agg(F.count("*").alias("tf"))
+    lengths = R.lengths(chunks)
+    posts.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
     lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
 
